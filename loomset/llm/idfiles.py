@@ -51,8 +51,12 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = at[block[at + k - 1] == block[at]]
         if not len(at):
             break
-        wide = np.concatenate([[0], np.cumsum(ids >> np.uint64(60 // k) != 0)])
-        at = at[wide[at + k] == wide[at]]
+        if len(at) * k < n:
+            at = at[(ids[at[:, None] + np.arange(k)] >> np.uint64(60 // k) == 0).all(axis=1)]
+        else:
+            wide = np.zeros(n + 1, np.int32)
+            np.cumsum(ids >= np.uint64(1 << 60 // k), out=wide[1:])
+            at = at[wide[at + k] == wide[at]]
         best[at] = s
     steps = np.array(SLOTS, np.int64)[best].tolist()
     starts, i = [], 0

@@ -1,31 +1,40 @@
 """Ids of a public tokenizer, found once for each distinct stretch of text.
 
 A text is cut where no token can cross: before each run of ASCII white space. Stretches that were met
-before come from a table; new ASCII stretches go through the tokenizer's own merges piece by piece,
-all others through the whole tokenizer. The table is emptied when full, which changes no result.
+before come from a table; new stretches of ASCII and Latin-1 letters go through the tokenizer's own merges piece by piece,
+all others through the whole tokenizer. The table forgets what was long not met, which changes no result.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
-#: Stretches that a worker remembers at once.
+#: Stretches of a generation that a worker remembers; the last generation is kept beside the current one.
 REMEMBERED = 400_000
 _odd_space = re.compile("[\x85\xa0  -     　]")
-_plain = re.compile(r"[ \t-\r]*[!-~]*\Z")
+#: ASCII, and the letters of Latin-1: their case and normal form need no look around.
+_plain = re.compile(r"[ \t-\r]*[!-~À-ÖØ-öø-ÿ]*\Z")
+#: How byte-level vocabularies show a byte: printable ones of Latin-1 as themselves, the others from 256 on.
+_shown_alike = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_shown = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _shown_alike)}
 
 
 class _Table(dict):
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.last = make, {}
 
     def __missing__(self, key):
+        out = self.last.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= REMEMBERED:
+            self.last = dict(self)
             self.clear()
-        self[key] = out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -41,23 +50,25 @@ class Ids:
         self.keeps_space = keeps_space
         if keeps_space:
             self.stretches = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+").findall
-            self.pieces = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+").findall
-            self.shown = {i: chr(256 + i) for i in range(33)}
+            self.pieces = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÿ]+| ?[0-9]+| ?[^ \t-\rA-Za-zÀ-ÿ0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+").findall
         else:
             self.stretches = re.compile(r"[^ \t-\r]+").findall
-            self.pieces = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+").findall
+            self.pieces = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zà-ÿß]+|[0-9]|[^a-zà-ÿß0-9]+").findall
         self.of_piece = _Table(self._merge)
         self.of_stretch = _Table(self._stretch)
 
     def _merge(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.merges.tokenize(piece)], "<u4").tobytes()
+        bare = piece.lstrip(" ")
+        if bare.isascii() and bare.isalpha():
+            shown = piece.replace(" ", _shown[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(_shown)
+        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
 
     def _stretch(self, s: str) -> bytes:
         if not _plain.match(s) or len(s) > 1000:
             return np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
         parts = self.pieces(s) if self.keeps_space else self.pieces(s.lower())
-        if self.keeps_space:
-            parts = [p.translate(self.shown) for p in parts]
         return b"".join([self.of_piece[p] for p in parts])
 
     def __call__(self, text: str) -> np.ndarray:
