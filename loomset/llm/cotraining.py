@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: tuple[Views, CoTrained, CoTrained], carry: boo
                 c, v = views.content(text.as_py()), views.meta(tuple(m))
                 q.append(quality(c, v))
                 t.append(toxic(c, v))
-            kept = [a >= REJECT_QUALITY and b <= REJECT_TOXIC for a, b in zip(q, t)]
+            kept = [(not quality.known or a >= REJECT_QUALITY) and (not toxic.known or b <= REJECT_TOXIC) for a, b in zip(q, t)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q, pa.float64()), pa.array(t, pa.float64()), pa.array(kept, pa.bool_()), *([batch.column(5)] if carry else [])], names=names)
 
     names = ["doc_id", "quality", "toxic", "kept", *["doc"] * carry]
