@@ -136,6 +136,19 @@ class Pieces:
         return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches of about so many rows: words of one length are worked on together."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def vocabulary(path: str) -> Pieces:
     import sentencepiece
 
@@ -181,7 +194,7 @@ def expected(counts: DataFrame, pieces: Pieces) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         total = np.zeros(len(p.texts))
-        for batch in batches:
+        for batch in _gathered(batches):
             p.words(batch.column(0).to_pylist(), p.logp, total, batch.column(1).to_numpy(zero_copy_only=False).astype(float))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
@@ -214,7 +227,7 @@ def lattice_score(docs: DataFrame, learns: Column, vocabulary_path: str, *, id_c
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for batch in batches:
+        for batch in _gathered(batches):
             words = batch.column(0).to_pylist()
             c = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             with np.errstate(divide="ignore"):
