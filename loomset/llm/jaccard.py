@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import bound_arrow, components, cut, documents
 
 BUCKETS, CHUNKS, SALTS, REMEMBERED = 1 << 18, 256, 64, 400_000
+#: Ids of documents that a broadcast may hold; more are met by a shuffle.
+BROADCAST = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -188,9 +190,12 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
             got = [shingles(t.as_buffer().to_pybytes(), size) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["k", "s"])
 
-    firsts = classes.join(nodes, "k", "left_semi").select(F.col("first").alias("doc_id"))
-    wanted = d.join(firsts.distinct(), d["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi").select("text")
-    whole = cut(wanted.mapInArrow(sets, "k long, s binary").dropDuplicates(["k"]), "whole")
+    def whole_sets(of: DataFrame) -> DataFrame:
+        """k, s of the classes in pairs; rows that repeat a document repeat its set."""
+        ends = of.select(F.col("a").alias("k")).union(of.select("b")).distinct()
+        firsts = cut(classes.join(ends, "k", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "firsts")
+        small = firsts.count() <= BROADCAST
+        return cut(d.join(F.broadcast(firsts) if small else firsts, d["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi").select("text").mapInArrow(sets, "k long, s binary"), "whole")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,11 +203,12 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     def links(of: DataFrame) -> DataFrame:
+        whole = whole_sets(of)
         x, y = whole.select(F.col("k").alias("a"), F.col("s").alias("sa")), whole.select(F.col("k").alias("b"), F.col("s").alias("sb"))
         return of.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, ok boolean").where("ok").select("a", "b")
 
     fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    starred = cut(links(pairs.where(fits("na", "nb"))), "links")
+    starred = cut(links(pairs.where(fits("na", "nb"))).distinct(), "links")
     part = components(starred)
     # Lists whose members are not yet of one component.
     members = token_rows.select("t", "k", "n").join(nodes, "k", "left_semi").join(part.select(F.col("node").alias("k"), "component"), "k", "left")
@@ -211,7 +217,7 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
     left = members.join(open_lists, "t", "left_semi")
     x, y = (left.select("t", F.col("k").alias(a), F.col("n").alias(f"n{a}"), F.col("c").alias(f"c{a}")) for a in "ab")
     more = x.join(y, "t").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    all_links = starred.unionByName(cut(links(more), "more-links"))
+    all_links = starred.unionByName(cut(links(cut(more, "more-pairs")), "more-links"))
     part = components(all_links)
     of_class = classes.select("k", "first").join(part, F.col("k") == F.col("node"), "left")
     least = of_class.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
