@@ -5,7 +5,8 @@ Two linked sets share a token among the first |s| - ceil(t |s|) + 1 of each, wha
 tokens, so candidates must do so under every order: the first order puts tokens that are rare in the
 corpus first (by counts of hashed buckets over all documents: a table of a fixed size) and finds
 candidates by its inverted lists; pairs must then pass the prefixes under two further, hashed orders
-before their sets are intersected.
+before their sets are fetched and intersected. Up to the smaller of two prefixes' last hashes both sets
+are known, so what one lacks there of the other also bounds their intersection.
 
 Lists are not expanded into pairs. First each member of a list is compared with the list's first
 member, and what links is joined to components; then only pairs whose components differ are listed and
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow, components, cut, documents
+from .common import Cut, bound_arrow, components, cut, documents
 
 BUCKETS, CHUNKS, SALTS, REMEMBERED = 1 << 18, 256, 64, 400_000
 #: Ids of documents that a broadcast may hold; more are met by a shuffle.
@@ -85,17 +86,39 @@ def rare_first(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def by_hash(s: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The prefix under a hashed order: its smallest hashes, ascending, as 32 bits."""
     k = prefix_length(len(s), percent)
-    h = _scramble(s, order)
-    return s if k >= len(s) else s[np.argpartition(h, k - 1)[:k]]
+    h = (_scramble(s, order) >> np.uint64(32)).astype(np.uint32)
+    return np.sort(h if k >= len(h) else np.partition(h, k - 1)[:k])
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+def prefixes(s: np.ndarray, percent: int) -> bytes:
+    """The prefixes under the further orders, one after the other."""
+    return b"".join([by_hash(s, order, percent).tobytes() for order in (1, 2)])
+
+
+def may_link(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bool:
+    """False if the prefixes a and b of sets of these sizes, under the further orders, rule a link out.
+
+    Equal 32-bit hashes of different tokens only make what is lacking seem less.
+    """
+    if 100 * min(na, nb) < percent * max(na, nb):
         return False
-    for order in (1, 2):  # the further orders
-        if not np.intersect1d(by_hash(a, order, percent), by_hash(b, order, percent), assume_unique=True).size:
+    needed = -(-percent * (na + nb) // (100 + percent))
+    for x, y in zip(np.split(a, 2), np.split(b, 2)):
+        last = min(x[-1], y[-1])
+        x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
+        if not len(x) or not len(y):
+            return False
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        back = np.minimum(np.searchsorted(x, y), len(x) - 1)
+        both = y[at] == x
+        if not both.any() or na - (len(x) - both.sum()) < needed or nb - (x[back] != y).sum() < needed:
             return False
+    return True
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = np.intersect1d(a, b, assume_unique=True).size
     return 100 * both >= percent * (len(a) + len(b) - both)
 
@@ -135,16 +158,22 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, ks, ps = [], [], []
+            ns, ks, ps, qs = [], [], [], []
             for t in batch.column(1):
                 s = shingles(t.as_buffer().to_pybytes(), size)
                 ns.append(len(s))
                 ks.append(set_key(s) if len(s) else None)
                 ps.append(rare_first(s, shared.value, percent).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(ks, pa.int64()), pa.array(ps, pa.binary())], names=["doc_id", "n", "k", "p"])
-
-    every = cut(d.mapInArrow(keys, "doc_id long, n long, k long, p binary"), "sets")
-    classes = cut(every.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("p").alias("p")), "classes")
+                qs.append(prefixes(s, percent) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(ks, pa.int64()), pa.array(ps, pa.binary()), pa.array(qs, pa.binary())], names=["doc_id", "n", "k", "p", "q"])
+
+    made = Cut(d.mapInArrow(keys, "doc_id long, n long, k long, p binary, q binary"), "sets")
+    every = cut(made.df.select("doc_id", "n", "k"), "documents")
+    # Prefixes of one document for each class: the others are not shuffled.
+    firsts = every.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
+    of_first = made.df.where("k is not null").select(F.col("k").alias("fk"), F.col("doc_id").alias("fd"), "p", "q")
+    classes = cut(firsts.join(of_first, (F.col("k") == F.col("fk")) & F.col("first").eqNullSafe(F.col("fd"))).dropDuplicates(["k"]).select("k", "first", "n", "p", "q"), "classes")
+    made.drop()
     hot = max(n_docs // 200, 100)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +231,15 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
             ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            ok = [may_link(np.frombuffer(x.as_buffer(), np.uint32), m, np.frombuffer(y.as_buffer(), np.uint32), n, percent) for x, m, y, n in zip(batch.column(3), na, batch.column(5), nb)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
     def links(of: DataFrame) -> DataFrame:
+        x, y = (classes.select(F.col("k").alias(e), F.col("n").alias(f"n{e}"), F.col("q").alias(f"q{e}")) for e in "ab")
+        of = cut(of.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "na", "qa", "nb", "qb").mapInArrow(rule_out, "a long, b long"), "kept-pairs")
         whole = whole_sets(of)
         x, y = whole.select(F.col("k").alias("a"), F.col("s").alias("sa")), whole.select(F.col("k").alias("b"), F.col("s").alias("sb"))
         return of.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, ok boolean").where("ok").select("a", "b")
