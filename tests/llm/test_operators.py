@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -216,3 +217,53 @@ def test_neighbours(spark):
         hits += len({r["vec_id"] for r in mine} & set(best.tolist()))
     assert hits >= 0.9 * 45
     assert neighbours.nearest(d.limit(0), lambda i: i % 50 == 0).count() == 0
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_similarity_of_words_is_that_of_the_joined_line(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        a = [rng.choice("an ban cat door eel ä long-ish".split()) for _ in range(rng.randint(1, 30))]
+        b = [w if rng.random() < 0.85 else rng.choice(["x", "ban", "catalogue"]) for w in a]
+        for _ in range(rng.randint(0, 3)):
+            b.insert(rng.randint(0, len(b)), "new")
+        rows.append((i, a, b))
+    got = {r["i"] for r in lines.similar_words(spark.createDataFrame(rows, "i int, wa array<string>, wb array<string>"), 80).collect()}
+    want = set()
+    for i, a, b in rows:
+        x, y = " ".join(a), " ".join(b)
+        if _distance(x, y) <= max(len(x), len(y)) * 20 // 100:
+            want.add(i)
+    assert got == want and 0 < len(want) < 60
+
+
+def test_equal_rows_that_repeat_do_not_overflow_lanes(spark):
+    text = " ".join(f"word{i}" for i in range(100))
+    d = spark.createDataFrame([(1, text)] * 5 + [(2, text), (3, "other words here")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["removed"]) for r in lines.dedup_lines(d).select("doc.doc_id", "removed").collect())
+    assert got == [(1, [])] * 5 + [(2, [0]), (3, [])]
+    sims = lines.with_simhash(lines._lines(d, "doc_id", "text")).where("at.doc_id < 3").select("sim").distinct()
+    assert sims.count() == 1
+
+
+def test_further_orders_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 120))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.where(rng.random(len(a)) < rng.choice([0.0, 0.05, 0.1, 0.5]), rng.integers(0, 1 << 63, len(a)).astype(np.uint64), a))
+        pa_, pb_ = (np.frombuffer(jaccard.prefixes(x, 85), np.uint32) for x in (a, b))
+        may = jaccard.may_link(pa_, len(a), pb_, len(b), 85)
+        assert may or not jaccard.linked(a, b, 85)
+        ruled_out += not may
+    assert ruled_out > 30
