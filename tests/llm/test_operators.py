@@ -267,3 +267,21 @@ def test_further_orders_rule_out_no_link():
         assert may or not jaccard.linked(a, b, 85)
         ruled_out += not may
     assert ruled_out > 30
+
+
+def test_line_dedup_finds_lines_of_edit_similarity(spark):
+    """Recall of removed lines against brute force; with words, short and long, replaced, left out and put in."""
+    rng = random.Random(8)
+    made = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([2, 3, 6, 8, 9])))
+    common, rows = ["the", "of", "and", "to"], []
+    for i in range(240):
+        a = [rng.choice(common) if rng.random() < 0.3 else made() for _ in range([rng.randint(5, 9), rng.randint(10, 25), rng.randint(26, 60)][i % 3])]
+        b = list(a)
+        for _ in range(max(1, len(a) * rng.choice([4, 8, 12, 16]) // 100)):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[made()], [], [b[at], made()]])
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    similar = {i for i in range(1, 480, 2) if _distance(rows[i - 1][1], rows[i][1]) <= max(len(rows[i - 1][1]), len(rows[i][1])) * 20 // 100}
+    got = {r["i"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("size(removed) > 0").select("doc.doc_id").toDF("i").collect()}
+    assert got <= similar and len(similar) > 150
+    assert len(got) >= 0.95 * len(similar), f"{len(got)} of {len(similar)}"
