@@ -8,10 +8,11 @@ candidates by its inverted lists; pairs must then pass the prefixes under two fu
 before their sets are fetched and intersected. Up to the smaller of two prefixes' last hashes both sets
 are known, so what one lacks there of the other also bounds their intersection.
 
-Lists are not expanded into pairs. First each member of a list is compared with the list's first
-member, and what links is joined to components; then only pairs whose components differ are listed and
-compared, so that no link between components is lost. Members of very frequent tokens are dealt to
-salted sublists, whose first members form a list of their own.
+Lists are not expanded into pairs. In a list of up to SHORT members all are compared, in a longer one each
+with the list's most central member, the one with the fewest tokens of its own; what links is joined to
+components. Members of a long list whose components still differ are then listed anew by what each has
+different from that central member (`apart`), where copies of it that went different ways share little, and so on
+until no long list is open: no link between components is lost, and lists of copies aren't squared.
 
 Defined results: texts without words, and null texts, have no shingles and are linked with nothing;
 shorter texts than a shingle have their whole sequence as one; a null doc_id is kept, and names no
@@ -22,14 +23,15 @@ apart by 64-bit hashes of their shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cut, bound_arrow, components, cut, documents
+from .common import Cut, bound_arrow, components, cut, documents, list_pairs, lists_of, open_lists
 
 BUCKETS, CHUNKS, SALTS, REMEMBERED = 1 << 18, 256, 64, 400_000
 #: Ids of documents that a broadcast may hold; more are met by a shuffle.
@@ -147,34 +149,72 @@ def bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def apart(x: np.ndarray, r: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """What x must share with a set that it links with, seen from r: tokens, and a mark for those that only meet a neighbour of r.
+
+    Both x and y are told by what they differ in from r: then |x ^ y| = |dx| + |dy| - 2 |dx & dy|. If x or y
+    isn't linked with r, a link of x and y needs a token that both differ in, and tokens that r lacks
+    come first in the order, the rarer ones of the corpus before the others. Bounds, with b = (100 - percent) / (100 + percent):
+    a neighbour y of r shares more than (|dy| + b (|r| - |y|)) / 2 such tokens with any x that isn't one, and so do two sets
+    that aren't; x shares at least |dx| - b (|x| + |y|) of them with a neighbour. A common token that r lacks
+    is also the first of all common tokens, so it lies in the prefix that the sizes alone call for.
+    """
+    own, lost = np.setdiff1d(x, r, assume_unique=True), np.setdiff1d(r, x, assume_unique=True)
+    d, n, m = len(own) + len(lost), len(x), len(r)
+    near = 100 * (n - len(own)) >= percent * (m + len(own))
+    short = -(-(d * (100 + percent) + (100 - percent) * (n - m)) // (2 * (100 + percent)))
+    whole = short
+    if not near and 10000 * m >= percent * percent * n:
+        whole = min(d, (100 - percent) * (percent * n + 100 * min(n, m)) // (percent * (100 + percent)) + 1)
+        whole = max(short, whole)
+    most = prefix_length(n, percent)
+
+    def rarest(s: np.ndarray, k: int) -> np.ndarray:
+        return s[np.lexsort((s, counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))[: max(k, 0)]]
+
+    mine = rarest(own, min(whole, most))
+    theirs = rarest(lost, whole - len(own)) if len(own) < most else lost[:0]
+    return np.concatenate([mine, theirs]), np.arange(len(mine) + len(theirs)) >= max(short, 0)
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """ids, broadcast if there are few enough, so that texts needn't be shuffled to meet them."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+
+
 def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; documents link at 100 |a & b| >= percent |a | b|."""
+    every, of_class = _classes(docs, size, percent, id_col, text_col)
+    return every.join(of_class, F.col("k") == F.col("ck"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h (hash of the text), n, k), and classes: ck, the component's component_id, and its node."""
     spark = docs.sparkSession
     bound_arrow(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = bucket_counts(d, size)
     shared = spark.sparkContext.broadcast(counts)
-    n_docs = d.count()
+    often = int(counts.mean()) + max(int(counts.sum()) // 100_000, 100)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ns, ks, ps, qs = [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = shingles(t.as_buffer().to_pybytes(), size)
                 ns.append(len(s))
                 ks.append(set_key(s) if len(s) else None)
                 ps.append(rare_first(s, shared.value, percent).tobytes() if len(s) else None)
                 qs.append(prefixes(s, percent) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(ks, pa.int64()), pa.array(ps, pa.binary()), pa.array(qs, pa.binary())], names=["doc_id", "n", "k", "p", "q"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(ks, pa.int64()), pa.array(ps, pa.binary()), pa.array(qs, pa.binary())], names=["doc_id", "h", "n", "k", "p", "q"])
 
-    made = Cut(d.mapInArrow(keys, "doc_id long, n long, k long, p binary, q binary"), "sets")
-    every = cut(made.df.select("doc_id", "n", "k"), "documents")
+    made = Cut(d.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(keys, "doc_id long, h long, n long, k long, p binary, q binary"), "sets")
+    every = cut(made.df.select("doc_id", "h", "n", "k"), "documents")
     # Prefixes of one document for each class: the others are not shuffled.
     firsts = every.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
     of_first = made.df.where("k is not null").select(F.col("k").alias("fk"), F.col("doc_id").alias("fd"), "p", "q")
     classes = cut(firsts.join(of_first, (F.col("k") == F.col("fk")) & F.col("first").eqNullSafe(F.col("fd"))).dropDuplicates(["k"]).select("k", "first", "n", "p", "q"), "classes")
     made.drop()
-    hot = max(n_docs // 200, 100)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,54 +222,55 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
             times = np.array([len(x) for x in lists], np.int64)
             t = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
             k = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), times)
-            often = shared.value[(t & np.uint64(BUCKETS - 1)).astype(np.int64)] > hot + len_mean
-            salt = np.where(often, k % SALTS, 0)
+            salt = np.where(shared.value[(t & np.uint64(BUCKETS - 1)).astype(np.int64)] > often, k % SALTS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(salt.astype(np.int32)), pa.array(k), pa.array(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), times).astype(np.int32))], names=["t", "salt", "k", "n"])
 
-    len_mean = int(counts.mean())
-    token_rows = classes.select("k", "n", "p").mapInArrow(tokens, "t long, salt int, k long, n int")
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by list: (a, b) of a member and its list's first member; (t, a) of the first members of salted lists."""
-        last = (None, None, None, None)
-        for batch in batches:
-            t, salt, k, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if not len(t):
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by token: those whose token another row here has, and those of salted tokens."""
+        held = None
+        for batch in chain(batches, [None]):
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] if batch is not None else [np.zeros(0, x) for x in (np.int64, np.int32, np.int64, np.int32)]
+            if batch is not None and not len(rows[0]):
                 continue
-            new = np.concatenate([[(t[0], salt[0]) != last[:2]], (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-            first, first_n = np.where(head >= 0, k[head], last[2] or 0), np.where(head >= 0, n[head], last[3] or 0)
-            edge = ~new & (first != k)
-            lists = new & (shared.value[(t.astype(np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)] > hot + len_mean)
-            last = (t[-1], salt[-1], first[-1], first_n[-1])
-            a, b, tt = np.concatenate([k[edge], k[lists]]), np.concatenate([first[edge], k[lists]]), np.concatenate([t[edge], t[lists]])
-            na, nb = np.concatenate([n[edge], n[lists]]), np.concatenate([first_n[edge], n[lists]])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(tt), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32))], names=["a", "b", "t", "na", "nb"])
-
-    found = cut(token_rows.repartition("t", "salt").sortWithinPartitions("t", "salt", "k").mapInArrow(stars, "a long, b long, t long, na int, nb int").groupBy("a", "b", F.when(F.col("a") == F.col("b"), F.col("t")).alias("t")).agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "stars")
-    heads = found.where("a = b").select("t", "a", "na")
-    top = heads.groupBy("t").agg(F.min(F.struct("a", "na")).alias("m"))
-    across = heads.join(top, "t").where(F.col("a") != F.col("m.a")).select("a", F.col("m.a").alias("b"), "na", F.col("m.na").alias("nb"))
-    pairs = found.where("a <> b").select("a", "b", "na", "nb").unionByName(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "na", "nb").distinct()
-    pairs = cut(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+            before = held[1] if held else False
+            t, salt, k, n = ([np.append(h, r) for h, r in zip(held[0], rows)] if held else rows)
+            if not len(t):
+                return
+            same = t[1:] == t[:-1]
+            keep = np.append(before, same) | np.append(same, False) | (salt >= 0)
+            if batch is not None:
+                held = [x[-1:] for x in (t, salt, k, n)], bool(same[-1]) if len(same) else before
+                t, k, n, keep = t[:-1], k[:-1], n[:-1], keep[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(k[keep]), pa.array(n[keep])], names=["t", "k", "n"])
+
+    token_rows = classes.select("k", "n", "p").mapInArrow(tokens, "t long, salt int, k long, n int")
+    kept = cut(token_rows.repartition("t", "salt").sortWithinPartitions("t").mapInArrow(met, "t long, k long, n int"), "tokens")
+    # A set with few tokens of its own stands amidst its copies: it is compared with the others first.
+    info = cut(kept.groupBy("k").agg(F.first("n").alias("n"), F.count("*").alias("c")).select("k", "n", F.floor(F.col("c") * -1000 / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).cast("int").alias("u")), "ranks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             got = [shingles(t.as_buffer().to_pybytes(), size) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["k", "s"])
+            got = {set_key(s): s for s in got}
+            new = [k for k in got if k not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([got[k].tobytes() for k in new], pa.binary())], names=["k", "s"])
 
     def whole_sets(of: DataFrame) -> DataFrame:
-        """k, s of the classes in pairs; rows that repeat a document repeat its set."""
+        """a, b, sa, sb of pairs(a, b)."""
         ends = of.select(F.col("a").alias("k")).union(of.select("b")).distinct()
-        firsts = cut(classes.join(ends, "k", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "firsts")
-        small = firsts.count() <= BROADCAST
-        return cut(d.join(F.broadcast(firsts) if small else firsts, d["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi").select("text").mapInArrow(sets, "k long, s binary"), "whole")
+        firsts = cut(classes.join(ends, "k", "left_semi").select(F.col("first").alias("fd")).distinct(), "firsts")
+        whole = cut(d.join(_bounded(firsts), F.col("doc_id").eqNullSafe(F.col("fd")), "left_semi").select("text").mapInArrow(sets, "k long, s binary"), "whole")
+        if whole.count() > whole.select("k").distinct().count():  # rows that repeat a document
+            whole = cut(whole.dropDuplicates(["k"]), "whole")
+        x, y = whole.select(F.col("k").alias("a"), F.col("s").alias("sa")), whole.select(F.col("k").alias("b"), F.col("s").alias("sb"))
+        return of.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,33 +280,62 @@ def similar(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str =
 
     def links(of: DataFrame) -> DataFrame:
         x, y = (classes.select(F.col("k").alias(e), F.col("n").alias(f"n{e}"), F.col("q").alias(f"q{e}")) for e in "ab")
-        of = cut(of.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "na", "qa", "nb", "qb").mapInArrow(rule_out, "a long, b long"), "kept-pairs")
-        whole = whole_sets(of)
-        x, y = whole.select(F.col("k").alias("a"), F.col("s").alias("sa")), whole.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-        return of.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, ok boolean").where("ok").select("a", "b")
-
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
-    starred = cut(links(pairs.where(fits("na", "nb"))).distinct(), "links")
-    part = components(starred)
-    # Lists whose members are not yet of one component.
-    members = token_rows.select("t", "k", "n").join(nodes, "k", "left_semi").join(part.select(F.col("node").alias("k"), "component"), "k", "left")
-    members = cut(members.select("t", "k", "n", F.coalesce("component", "k").alias("c")), "members")
-    open_lists = members.groupBy("t").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("t")
-    left = members.join(open_lists, "t", "left_semi")
-    x, y = (left.select("t", F.col("k").alias(a), F.col("n").alias(f"n{a}"), F.col("c").alias(f"c{a}")) for a in "ab")
-    more = x.join(y, "t").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    all_links = starred.unionByName(cut(links(cut(more, "more-pairs")), "more-links"))
-    part = components(all_links)
+        of = Cut(of.join(x, "a").join(y, "b").select("a", "b", "na", "qa", "nb", "qb").mapInArrow(rule_out, "a long, b long"), "kept-pairs")
+        out = cut(whole_sets(of.df).mapInArrow(verify, "a long, b long"), "links")
+        of.drop()
+        return out
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [apart(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), shared.value, percent) for x, y in zip(batch.column(2), batch.column(3))]
+            times = [len(t) for t, _ in got]
+            k, r = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1))
+            t = np.concatenate([t for t, _ in got]) if got else np.zeros(0, np.uint64)
+            t = _scramble(t ^ (r.astype(np.uint64) * _MIX[3]), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(k), pa.array(np.concatenate([q for _, q in got]) if got else np.zeros(0, bool), pa.bool_())], names=["t", "k", "q"])
+
+    fits = lambda x, y: (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
+    rows = kept.select("t", "k", F.lit(False).alias("q"))
+    all_links = tried = part = None
+    while True:
+        listed = lists_of(rows, info)
+        pairs = list_pairs(listed, ["k", "n"], fits)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = links(pairs)
+        all_links = new if all_links is None else all_links.unionByName(new)
+        part = components(all_links)
+        left = cut(open_lists(listed, part).select(F.col("k").alias("a"), F.col("r").alias("b")).where("a <> b").distinct(), "open")
+        if not left.head(1):
+            break
+        rows = cut(whole_sets(left).mapInArrow(differences, "t long, k long, q boolean"), "differences")
     of_class = classes.select("k", "first").join(part, F.col("k") == F.col("node"), "left")
     least = of_class.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
-    of_class = of_class.join(least, "component", "left").select(F.col("k").alias("ck"), F.coalesce("least", "first").alias("component_id"))
-    return every.join(of_class, F.col("k") == F.col("ck"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = of_class.join(least, "component", "left").select(F.col("k").alias("ck"), F.coalesce("least", "first").alias("component_id"), F.coalesce("component", "k").alias("node"))
+    return every, of_class
+
 
+def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of linked documents, and all rows without words.
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that a document of a smaller doc_id stands for."""
-    got = similar(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(got, F.col(options.get("id_col", "doc_id")).cast("long") == F.col("gone"), "left_anti")
+    The row that stays is the first by doc_id (null first), then by a hash of its text, then by a hash of all its columns.
+    """
+    every, of_class = _classes(docs, size, percent, id_col, text_col)
+    rows = cut(every.where("k is not null").join(of_class, F.col("k") == F.col("ck")).groupBy("node", "doc_id", "h").agg(F.count("*").alias("c")), "groups")
+    firsts = rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("m"), F.sum("c").alias("c")).where("c > 1").select(F.col("node").alias("fn"), "m")
+    gone = rows.join(firsts, F.col("node") == F.col("fn"))
+    first = F.col("m.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("m.h") == F.col("h"))
+    gone = cut(gone.select(F.col("doc_id").alias("gd"), F.col("h").alias("gh"), first.alias("first"), "c").where("not first or c > 1"), "gone")
+    own = [F.col(id_col).cast("long").alias("gd"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("gh")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *own)
+    on = lambda g: F.col("keyed.gd").eqNullSafe(F.col(f"{g}.gd")) & (F.col("keyed.gh") == F.col(f"{g}.gh"))
+    stay = keyed.alias("keyed").join(_bounded(gone).alias("gone"), on("gone"), "left_anti").select("doc")
+    # Rows of the first of a group that come more than once.
+    same = keyed.alias("keyed").join(_bounded(gone.where("first")).alias("same"), on("same"), "left_semi")
+    same = same.withColumn("place", F.row_number().over(Window.partitionBy("gd", "gh").orderBy(F.xxhash64(F.to_json("doc"))))).where("place = 1").select("doc")
+    return stay.unionByName(same).select("doc.*")
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -285,3 +285,68 @@ def test_line_dedup_finds_lines_of_edit_similarity(spark):
     got = {r["i"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("size(removed) > 0").select("doc.doc_id").toDF("i").collect()}
     assert got <= similar and len(similar) > 150
     assert len(got) >= 0.95 * len(similar), f"{len(got)} of {len(similar)}"
+
+
+def _copies(rng, n, words, edits):
+    """Copies of copies of one text, with words replaced, left out and put in."""
+    made = [[f"w{rng.randrange(400)}" for _ in range(words)]]
+    while len(made) < n:
+        w = list(made[0] if rng.random() < 0.7 else rng.choice(made))
+        for _ in range(rng.randrange(edits + 1)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.choice((1, 1, 0, 2))] = [f"x{rng.randrange(10_000)}"] * rng.choice((1, 1, 0))
+        made.append(w)
+    return [" ".join(w) for w in made]
+
+
+def _brute_components(texts, size, percent):
+    sets = [set(zip(*(t.split()[i:] for i in range(size)))) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("size,percent,seed", [(4, 85, 1), (5, 80, 2)])
+def test_jaccard_large_groups_of_copies(spark, size, percent, seed):
+    rng = random.Random(seed)
+    texts = _copies(rng, 160, 60, 5) + _copies(rng, 60, 40, 3) + [f"only {i} here is {i} said" for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=size, percent=percent).collect()}
+    want = _brute_components(texts, size, percent)
+    assert [got[i] for i in range(len(texts))] == want and 30 < len(set(want)) < 220
+
+
+def test_what_a_link_shares_as_seen_from_a_third_set():
+    rng = random.Random(5)
+    counts = np.zeros(jaccard.BUCKETS, np.int64)
+    seen = 0
+    for _ in range(1500):
+        percent, size = rng.choice((80, 85)), rng.choice((1, 3))
+        texts = _copies(rng, 14, rng.randrange(8, 80), rng.randrange(1, 9))
+        sets = [jaccard.shingles(t.encode(), size) for t in texts]
+        for s in sets:
+            np.add.at(counts, (s & np.uint64(jaccard.BUCKETS - 1)).astype(np.int64), 1)
+        r = rng.choice(sets)
+        for x, y in rng.sample(list(itertools.combinations(sets, 2)), 12):
+            if (np.array_equal(x, y) or not jaccard.linked(x, y, percent)) or (jaccard.linked(x, r, percent) and jaccard.linked(y, r, percent)):
+                continue
+            (tx, qx), (ty, qy) = (jaccard.apart(s, r, counts, percent) for s in (x, y))
+            both = {t: a for t, a in zip(tx.tolist(), qx)}
+            assert any(t in both and not (both[t] and b) for t, b in zip(ty.tolist(), qy))
+            seen += 1
+    assert seen > 100
+
+
+def test_one_of_each_group_keeps_one_row(spark):
+    rows = [(1, BASE), (1, BASE), (1, "something else altogether is written here today"), (None, BASE + " x"), (None, BASE + " x"), (None, None), (None, None), (5, "   ")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(None, BASE + " x"), (1, rows[2][1]), (None, None), (None, None), (5, "   ")], key=str)
