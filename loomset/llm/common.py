@@ -129,8 +129,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
 
 
-#: Members of a list that are all compared with each other; those of longer lists are compared with one.
-SHORT = 16
+#: Members of a list that are all compared with each other; those of longer lists are compared with one. For lists of documents, and for lists made of their members.
+SHORT = (16, 64)
 
 
 def lists_of(rows: DataFrame, info: DataFrame) -> DataFrame:
@@ -143,21 +143,21 @@ def lists_of(rows: DataFrame, info: DataFrame) -> DataFrame:
     return cut(members.drop("q").join(lists, "t"), "lists")
 
 
-def list_pairs(listed: DataFrame, columns: list[str], fits) -> DataFrame:
+def list_pairs(listed: DataFrame, columns: list[str], fits, short: int) -> DataFrame:
     """Distinct pairs a > b that fit: all of short lists, those with the central member of long ones. fits is given structs of the columns."""
     one = F.struct(*columns).alias("x")
-    short = listed.where(F.col("c") <= SHORT).groupBy("t").agg(F.collect_list(one).alias("m"))  # SHORT members at most
-    short = short.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where(F.col("x.k") > F.col("y.k"))
-    long = listed.where(F.col("c") > SHORT)
+    few = listed.where(F.col("c") <= short).groupBy("t").agg(F.collect_list(one).alias("m"))  # `short` members at most
+    few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where(F.col("x.k") > F.col("y.k"))
+    long = listed.where(F.col("c") > short)
     centre = long.where("k = r").select(F.col("t").alias("ct"), F.struct(*columns).alias("y"))
     long = long.where("k <> r").select("t", one).join(centre, F.col("t") == F.col("ct")).select("x", "y")
-    both = short.unionByName(long).where(fits(F.col("x"), F.col("y")))
+    both = few.unionByName(long).where(fits(F.col("x"), F.col("y")))
     return both.select(F.greatest("x.k", "y.k").alias("a"), F.least("x.k", "y.k").alias("b")).distinct()
 
 
-def open_lists(listed: DataFrame, part: DataFrame) -> DataFrame:
+def open_lists(listed: DataFrame, part: DataFrame, short: int) -> DataFrame:
     """Members of the long lists that hold more than one component, with it."""
-    long = listed.where(F.col("c") > SHORT).join(part.select(F.col("node").alias("k"), "component"), "k", "left")
+    long = listed.where(F.col("c") > short).join(part.select(F.col("node").alias("k"), "component"), "k", "left")
     long = cut(long.withColumn("component", F.coalesce("component", "k")), "long")
     split = long.groupBy("t").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("t")
     return long.join(split, "t", "left_semi")

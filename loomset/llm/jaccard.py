@@ -8,7 +8,7 @@ candidates by its inverted lists; pairs must then pass the prefixes under two fu
 before their sets are fetched and intersected. Up to the smaller of two prefixes' last hashes both sets
 are known, so what one lacks there of the other also bounds their intersection.
 
-Lists are not expanded into pairs. In a list of up to SHORT members all are compared, in a longer one each
+Lists are not expanded into pairs. In a list of up to SHORT[0] members (SHORT[1] later) all are compared, in a longer one each
 with the list's most central member, the one with the fewest tokens of its own; what links is joined to
 components. Members of a long list whose components still differ are then listed anew by what each has
 different from that central member (`apart`), where copies of it that went different ways share little, and so on
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cut, bound_arrow, components, cut, documents, list_pairs, lists_of, open_lists
+from .common import SHORT, Cut, bound_arrow, components, cut, documents, list_pairs, lists_of, open_lists
 
 BUCKETS, CHUNKS, SALTS, REMEMBERED = 1 << 18, 256, 64, 400_000
 #: Ids of documents that a broadcast may hold; more are met by a shuffle.
@@ -153,8 +153,9 @@ def apart(x: np.ndarray, r: np.ndarray, counts: np.ndarray, percent: int) -> tup
     """What x must share with a set that it links with, seen from r: tokens, and a mark for those that only meet a neighbour of r.
 
     Both x and y are told by what they differ in from r: then |x ^ y| = |dx| + |dy| - 2 |dx & dy|. If x or y
-    isn't linked with r, a link of x and y needs a token that both differ in, and tokens that r lacks
-    come first in the order, the rarer ones of the corpus before the others. Bounds, with b = (100 - percent) / (100 + percent):
+    isn't linked with r, a link of x and y needs a token that both differ in. Tokens that r lacks
+    come first in the order, the rarer ones of the corpus before the others; of r's, which others lack, the
+    more frequent ones come first, since the rare ones are lacking everywhere. Bounds, with b = (100 - percent) / (100 + percent):
     a neighbour y of r shares more than (|dy| + b (|r| - |y|)) / 2 such tokens with any x that isn't one, and so do two sets
     that aren't; x shares at least |dx| - b (|x| + |y|) of them with a neighbour. A common token that r lacks
     is also the first of all common tokens, so it lies in the prefix that the sizes alone call for.
@@ -169,11 +170,11 @@ def apart(x: np.ndarray, r: np.ndarray, counts: np.ndarray, percent: int) -> tup
         whole = max(short, whole)
     most = prefix_length(n, percent)
 
-    def rarest(s: np.ndarray, k: int) -> np.ndarray:
-        return s[np.lexsort((s, counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))[: max(k, 0)]]
+    def first(s: np.ndarray, k: int, way: int) -> np.ndarray:
+        return s[np.lexsort((s, way * counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))[: max(k, 0)]]
 
-    mine = rarest(own, min(whole, most))
-    theirs = rarest(lost, whole - len(own)) if len(own) < most else lost[:0]
+    mine = first(own, min(whole, most), 1)
+    theirs = first(lost, whole - len(own), -1) if len(own) < most else lost[:0]
     return np.concatenate([mine, theirs]), np.arange(len(mine) + len(theirs)) >= max(short, 0)
 
 
@@ -297,19 +298,22 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     fits = lambda x, y: (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
     rows = kept.select("t", "k", F.lit(False).alias("q"))
     all_links = tried = part = None
+    short = SHORT[0]
     while True:
         listed = lists_of(rows, info)
-        pairs = list_pairs(listed, ["k", "n"], fits)
+        pairs = list_pairs(listed, ["k", "n"], fits, short)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = links(pairs)
-        all_links = new if all_links is None else all_links.unionByName(new)
-        part = components(all_links)
-        left = cut(open_lists(listed, part).select(F.col("k").alias("a"), F.col("r").alias("b")).where("a <> b").distinct(), "open")
+        if part is None or new.head(1):
+            all_links = new if all_links is None else all_links.unionByName(new)
+            part = components(all_links)
+        left = cut(open_lists(listed, part, short).select(F.col("k").alias("a"), F.col("r").alias("b")).where("a <> b").distinct(), "open")
         if not left.head(1):
             break
+        short = SHORT[1]
         rows = cut(whole_sets(left).mapInArrow(differences, "t long, k long, q boolean"), "differences")
     of_class = classes.select("k", "first").join(part, F.col("k") == F.col("node"), "left")
     least = of_class.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
