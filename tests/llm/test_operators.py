@@ -350,3 +350,19 @@ def test_one_of_each_group_keeps_one_row(spark):
     rows = [(1, BASE), (1, BASE), (1, "something else altogether is written here today"), (None, BASE + " x"), (None, BASE + " x"), (None, None), (None, None), (5, "   ")]
     got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(None, BASE + " x"), (1, rows[2][1]), (None, None), (None, None), (5, "   ")], key=str)
+
+
+def test_line_dedup_finds_pairs_within_long_lists(spark):
+    """Lines that share a passage and little else, with copies among them: long lists that are narrowed."""
+    rng = random.Random(3)
+    passage = [f"shared{i}" for i in range(14)]
+    made = lambda n: [f"v{rng.randrange(100_000)}" for _ in range(n)]
+    rows = []
+    for i in range(150):
+        a = made(10) + passage + made(10)
+        b = list(a)
+        for _ in range(rng.choice([1, 2, 3])):
+            b[rng.randrange(len(b))] = made(1)[0]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {r["i"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("size(removed) > 0").select("doc.doc_id").toDF("i").collect()}
+    assert got <= set(range(1, 300, 2)) and len(got) >= 145
