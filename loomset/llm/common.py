@@ -129,8 +129,9 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
 
 
-#: Members of a list that are all compared with each other; those of longer lists are compared with one. For lists of documents, and for lists made of their members.
-SHORT = (16, 64)
+#: Members of a list that are all compared with each other; those of longer lists are compared with one.
+#: Lists that are made of an open list's members may be WIDEN times as long, so that few rounds are left for what doesn't part.
+SHORT, WIDEN = 16, 4
 
 
 def lists_of(rows: DataFrame, info: DataFrame) -> DataFrame:

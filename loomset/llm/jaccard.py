@@ -8,7 +8,7 @@ candidates by its inverted lists; pairs must then pass the prefixes under two fu
 before their sets are fetched and intersected. Up to the smaller of two prefixes' last hashes both sets
 are known, so what one lacks there of the other also bounds their intersection.
 
-Lists are not expanded into pairs. In a list of up to SHORT[0] members (SHORT[1] later) all are compared, in a longer one each
+Lists are not expanded into pairs. In a list of up to SHORT members (more in later rounds) all are compared, in a longer one each
 with the list's most central member, the one with the fewest tokens of its own; what links is joined to
 components. Members of a long list whose components still differ are then listed anew by what each has
 different from that central member (`apart`), where copies of it that went different ways share little, and so on
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHORT, Cut, bound_arrow, components, cut, documents, list_pairs, lists_of, open_lists
+from .common import SHORT, WIDEN, Cut, bound_arrow, components, cut, documents, list_pairs, lists_of, open_lists
 
 BUCKETS, CHUNKS, SALTS, REMEMBERED = 1 << 18, 256, 64, 400_000
 #: Ids of documents that a broadcast may hold; more are met by a shuffle.
@@ -298,7 +298,7 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     fits = lambda x, y: (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
     rows = kept.select("t", "k", F.lit(False).alias("q"))
     all_links = tried = part = None
-    short = SHORT[0]
+    short = SHORT
     while True:
         listed = lists_of(rows, info)
         pairs = list_pairs(listed, ["k", "n"], fits, short)
@@ -313,7 +313,7 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
         left = cut(open_lists(listed, part, short).select(F.col("k").alias("a"), F.col("r").alias("b")).where("a <> b").distinct(), "open")
         if not left.head(1):
             break
-        short = SHORT[1]
+        short *= WIDEN
         rows = cut(whole_sets(left).mapInArrow(differences, "t long, k long, q boolean"), "differences")
     of_class = classes.select("k", "first").join(part, F.col("k") == F.col("node"), "left")
     least = of_class.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
