@@ -129,36 +129,73 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
 
 
-#: Members of a list that are all compared with each other; those of longer lists are compared with one.
-#: Lists that are made of an open list's members may be WIDEN times as long, so that few rounds are left for what doesn't part.
+#: Members of an open list that are all compared; longer lists are parted first.
+#: Lists made of an open list's members may be WIDEN times as long, so that few rounds are left for what doesn't part.
 SHORT, WIDEN = 16, 4
 
 
-def lists_of(rows: DataFrame, info: DataFrame) -> DataFrame:
-    """Members of lists of more than one: t, c (members), r (the central one), info's columns.
-
-    rows: t, k, q (a row that needs one without q in its list) and more; info: k, u (least for central ones), n and more, of each k.
-    """
+def _listed(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """Members of lists of more than one: rows' and info's columns, c (members), r (the central one: least by u, n, k)."""
     members = cut(rows.join(info, "k"), "members")
     lists = members.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("u", "n", "k")).alias("r"), F.min("q").alias("q")).where("c > 1 and not q").select("t", "c", F.col("r.k").alias("r"))
     return cut(members.drop("q").join(lists, "t"), "lists")
 
 
-def list_pairs(listed: DataFrame, columns: list[str], fits, short: int) -> DataFrame:
-    """Distinct pairs a > b that fit: all of short lists, those with the central member of long ones. fits is given structs of the columns."""
-    one = F.struct(*columns).alias("x")
-    few = listed.where(F.col("c") <= short).groupBy("t").agg(F.collect_list(one).alias("m"))  # `short` members at most
+def _with_component(listed: DataFrame, part: DataFrame) -> DataFrame:
+    return listed.join(part.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+
+
+def _ordered(pairs: DataFrame, fits) -> DataFrame:
+    """a > b of the pairs of members (x, y) that fit."""
+    return pairs.where(fits(F.col("x"), F.col("y"))).select(F.greatest("x.k", "y.k").alias("a"), F.least("x.k", "y.k").alias("b"))
+
+
+def _stars(listed: DataFrame, columns: list[str], fits) -> DataFrame:
+    """Each member of a list with its central one."""
+    centre = listed.where("k = r").select(F.col("t").alias("ct"), F.struct(*columns).alias("y"))
+    rest = listed.where("k <> r").select("t", F.struct(*columns).alias("x"))
+    return _ordered(rest.join(centre, F.col("t") == F.col("ct")).select("x", "y"), fits)
+
+
+def _inside(listed: DataFrame, columns: list[str], fits) -> DataFrame:
+    """Pairs of short lists."""
+    few = listed.groupBy("t").agg(F.collect_list(F.struct(*columns)).alias("m"))
     few = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where(F.col("x.k") > F.col("y.k"))
-    long = listed.where(F.col("c") > short)
-    centre = long.where("k = r").select(F.col("t").alias("ct"), F.struct(*columns).alias("y"))
-    long = long.where("k <> r").select("t", one).join(centre, F.col("t") == F.col("ct")).select("x", "y")
-    both = few.unionByName(long).where(fits(F.col("x"), F.col("y")))
-    return both.select(F.greatest("x.k", "y.k").alias("a"), F.least("x.k", "y.k").alias("b")).distinct()
-
-
-def open_lists(listed: DataFrame, part: DataFrame, short: int) -> DataFrame:
-    """Members of the long lists that hold more than one component, with it."""
-    long = listed.where(F.col("c") > short).join(part.select(F.col("node").alias("k"), "component"), "k", "left")
-    long = cut(long.withColumn("component", F.coalesce("component", "k")), "long")
-    split = long.groupBy("t").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("t")
-    return long.join(split, "t", "left_semi")
+    return _ordered(few, fits)
+
+
+def settle(rows: DataFrame, info: DataFrame, columns: list[str], fits, links, narrower) -> DataFrame:
+    """node, component: the components of members of lists that link, without squaring long lists.
+
+    rows: t (list), k (member), q (needs a member without q in its list) and more; info: of each k u (least for members
+    amidst their copies), n, and the columns that fits(x, y) reads, structs of `columns`; links(pairs(a, b)) keeps those that link.
+    Each member is compared with its list's central one. Of a list that still holds several components, all pairs of
+    different ones are compared if it is short; else narrower(members, round) gives rows of new lists, in which
+    every two of its members that may link and aren't both of one component meet again.
+    """
+    listed = _listed(rows, info)
+    tried = cut(_stars(listed, columns, fits).distinct(), "pairs")
+    every = links(tried)
+    part = cut(components(every), "parts")
+    columns, apart = [*columns, "component"], lambda x, y: fits(x, y) & (x["component"] != y["component"])
+    short, k = SHORT, 0
+    while listed is not None:
+        found = cut(_with_component(listed, part), "members")
+        split = found.where("c > 2").groupBy("t").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("t")
+        left = cut(found.join(split, "t", "left_semi"), "open")
+        if not left.head(1):
+            break
+        new = _inside(left.where(F.col("c") <= short), columns, apart)
+        long = left.where(F.col("c") > short)
+        listed = None
+        if long.head(1):
+            listed = _listed(narrower(long, k), info)
+            new = new.unionByName(_stars(_with_component(listed, part), columns, apart))
+        new = cut(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(new)
+        got = links(new)
+        if got.head(1):
+            every = every.unionByName(got)
+            part = cut(components(every), "parts")
+        short, k = short * WIDEN, k + 1
+    return part

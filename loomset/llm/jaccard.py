@@ -8,11 +8,12 @@ candidates by its inverted lists; pairs must then pass the prefixes under two fu
 before their sets are fetched and intersected. Up to the smaller of two prefixes' last hashes both sets
 are known, so what one lacks there of the other also bounds their intersection.
 
-Lists are not expanded into pairs. In a list of up to SHORT members (more in later rounds) all are compared, in a longer one each
-with the list's most central member, the one with the fewest tokens of its own; what links is joined to
-components. Members of a long list whose components still differ are then listed anew by what each has
-different from that central member (`apart`), where copies of it that went different ways share little, and so on
-until no long list is open: no link between components is lost, and lists of copies aren't squared.
+Lists are not expanded into pairs. Each member of a list is compared with the most central one, which has the
+fewest tokens of its own, and what links is joined to components. In a list of up to SHORT members (more in later
+rounds) that holds several components, all pairs of different ones are compared. A longer one is parted by size, then
+by what its members have different from their central one (`apart`), where copies of it that went
+different ways share little, and so on until no list is open: no link between components is lost, and lists
+of copies aren't squared.
 
 Defined results: texts without words, and null texts, have no shingles and are linked with nothing;
 shorter texts than a shingle have their whole sequence as one; a null doc_id is kept, and names no
@@ -22,6 +23,7 @@ apart by 64-bit hashes of their shingles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHORT, WIDEN, Cut, bound_arrow, components, cut, documents, list_pairs, lists_of, open_lists
+from .common import Cut, bound_arrow, cut, documents, settle
 
 BUCKETS, CHUNKS, SALTS, REMEMBERED = 1 << 18, 256, 64, 400_000
 #: Ids of documents that a broadcast may hold; more are met by a shuffle.
@@ -296,25 +298,17 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(k), pa.array(np.concatenate([q for _, q in got]) if got else np.zeros(0, bool), pa.bool_())], names=["t", "k", "q"])
 
     fits = lambda x, y: (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
-    rows = kept.select("t", "k", F.lit(False).alias("q"))
-    all_links = tried = part = None
-    short = SHORT
-    while True:
-        listed = lists_of(rows, info)
-        pairs = list_pairs(listed, ["k", "n"], fits, short)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = links(pairs)
-        if part is None or new.head(1):
-            all_links = new if all_links is None else all_links.unionByName(new)
-            part = components(all_links)
-        left = cut(open_lists(listed, part, short).select(F.col("k").alias("a"), F.col("r").alias("b")).where("a <> b").distinct(), "open")
-        if not left.head(1):
-            break
-        short *= WIDEN
-        rows = cut(whole_sets(left).mapInArrow(differences, "t long, k long, q boolean"), "differences")
+
+    def narrower(long: DataFrame, k: int) -> DataFrame:
+        """Lists parted by size first (sets that link are in one band of sizes, or in bands that follow each other), then by differences."""
+        if k == 0:
+            band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+            both = F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("q")), F.struct((band + 1).alias("band"), F.lit(True).alias("q"))))
+            return long.select("t", "k", both.alias("z")).select(F.xxhash64("t", "z.band").alias("t"), "k", "z.q")
+        stars = cut(long.select(F.col("k").alias("a"), F.col("r").alias("b")).where("a <> b").distinct(), "open-stars")
+        return whole_sets(stars).mapInArrow(differences, "t long, k long, q boolean")
+
+    part = settle(kept.select("t", "k", F.lit(False).alias("q")), info, ["k", "n"], fits, links, narrower)
     of_class = classes.select("k", "first").join(part, F.col("k") == F.col("node"), "left")
     least = of_class.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     of_class = of_class.join(least, "component", "left").select(F.col("k").alias("ck"), F.coalesce("least", "first").alias("component_id"), F.coalesce("component", "k").alias("node"))
