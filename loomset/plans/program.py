@@ -128,7 +128,23 @@ class Program:
 
     # declarations
 
+    def _unlike(self) -> None:
+        """Refuses names that are declared twice, and constructors of two types."""
+        seen: set[tuple[str, str]] = set()
+        for s in self.statements:
+            space = {"entity": "type", "type": "type", "let": "relation", "recursive": "relation", "rel": "relation", "state": "relation", "event": "event", "on": "handler", "seed": "relation"}.get(s[0])
+            if space is None or s[0] == "seed" and s[1] == "_":
+                continue
+            if (space, s[1]) in seen or space == "type" and s[1] in self.types:
+                raise CheckProblem(f"`{s[1]}` is declared twice")
+            seen.add((space, s[1]))
+            for c in s[2] if s[0] == "type" else ():
+                if ("constructor", c) in seen:
+                    raise CheckProblem(f"`{c}` is a constructor of two types")
+                seen.add(("constructor", c))
+
     def _declare(self) -> None:
+        self._unlike()
         for s in self.statements:
             if s[0] == "entity":
                 self.types[s[1]] = self.types[f"{s[1]}ID"] = ("entity", s[1])
@@ -581,6 +597,11 @@ class Program:
                 return self.rel(Fn(cur.base, F.when(self.truth(p, cur), cur.key), t, t))
             except NotFused:
                 pass
+        if p[0] == "union":
+            sides = [self._filter_relation(x, t).df.select("l", F.col("l").alias("r"), "w") for x in p[1:3]]
+            return Rel(R.distinct(sides[0].unionByName(sides[1])), t, t)
+        if p[0] == "both" and cur is not None:
+            return Rel(R.semijoin(self._filter_relation(p[1], t).df.select("l", F.col("l").alias("r"), "w"), self._filter_relation(p[2], t).df), t, t)
         b = self.rel(self.compile(p, cur))
         if b.left != t:
             raise CheckProblem(f"a filter on {t} can't be keyed by {b.left}")
@@ -596,11 +617,11 @@ class Program:
                 a = b = None
             if isinstance(a, Fn) and isinstance(b, Fn) and a.right == b.right != BOOL and a.right != cur.type and a.base is b.base is cur.base:
                 return F.coalesce(a.col == b.col, no)
-            return self.truth(p[1], cur) & self.truth(p[2], cur)
+            return self.truth(p[1], cur, bools) & self.truth(p[2], cur, bools)
         if p[0] == "not":
             return ~self.truth(p[1], cur)
         if p[0] == "union":
-            return self.truth(p[1], cur) | self.truth(p[2], cur)
+            return self.truth(p[1], cur, bools) | self.truth(p[2], cur, bools)
         x = self.compile(p, cur)
         if not isinstance(x, Fn) or x.base is not cur.base:
             raise NotFused
@@ -609,7 +630,12 @@ class Program:
     def _not(self, node, cur):
         if cur is None:
             raise CheckProblem("`not` needs a row")
-        return Fn(cur.base, F.when(~self.truth(node[1], cur), cur.key), ("entity", cur.base.entity), cur.type)
+        left = ("entity", cur.base.entity)
+        try:
+            return Fn(cur.base, F.when(~self.truth(node[1], cur), cur.key), left, cur.type)
+        except NotFused:
+            every = self.rel(Fn(cur.base, self._live(cur), left, cur.type))
+            return Rel(R.antijoin(every.df, self._filter_relation(node[1], cur.type).df), left, cur.type, True)
 
     # grouping
 
@@ -693,9 +719,17 @@ class Program:
                 no = self.rel(Fn(cur.base, F.when(~c, cur.key), cur.type, cur.type)).df
                 return Rel(R.union(R.compose(yes, self.rel(a).df), R.compose(no, self.rel(b).df)), cur.type, t)
             except NotFused:
-                pass
+                return self._if_related(node, cur)
         raise CheckProblem("`if` needs a condition on the row")
 
+    def _if_related(self, node, cur):
+        """The choice where the condition is a relation: rows that have a pair in it take the first arm."""
+        a, b = self.compile(node[2], cur), self.compile(node[3], cur)
+        every = self.rel(Fn(cur.base, self._live(cur), ("entity", cur.base.entity), cur.type)).df
+        has = self._filter_relation(node[1], cur.type).df
+        yes, no = R.compose(R.semijoin(every, has), self.rel(a).df), R.compose(R.antijoin(every, has), self.rel(b).df)
+        return Rel(R.union(yes, no), cur.type, self.join_types(a.right, b.right))
+
 
 def literal_of(v) -> Column:
     return F.lit(v)

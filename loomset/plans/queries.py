@@ -29,14 +29,16 @@ VIEWS: dict[str, tuple[str, str, str]] = {
     "p3_in": ("let x : Order = .status in (O | P)", "x", "SELECT o_orderkey::BIGINT k, o_orderkey::BIGINT v, 1::BIGINT w FROM orders WHERE o_orderstatus IN ('O', 'P')"),
     "p4_comparison": ("let x : Customer = .acctbal >= .nation.region.name.least\nlet least = min(Customer.acctbal by .nation.region.name)", "x", f"WITH c AS (SELECT c_custkey, {BAL} b, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT c_custkey::BIGINT k, c_custkey::BIGINT v, 1::BIGINT w FROM c JOIN (SELECT r_name, min(b) m FROM c GROUP BY 1) USING (r_name) WHERE b >= m"),
     "p5_not": ("let x : Order = Order where not .status = F", "x", "SELECT o_orderkey::BIGINT k, o_orderkey::BIGINT v, 1::BIGINT w FROM orders WHERE o_orderstatus <> 'F'"),
-    "p7_and": ("let x : Part = Part where .size > 40 & .price > 1000", "x", f"SELECT p_partkey::BIGINT k, p_partkey::BIGINT v, 1::BIGINT w FROM part WHERE p_size > 40 AND {PPRICE} > 100000"),
+    "p7_and": ("let x : Part = Part where .size > 20 & .price > 950", "x", f"SELECT p_partkey::BIGINT k, p_partkey::BIGINT v, 1::BIGINT w FROM part WHERE p_size > 20 AND {PPRICE} > 95000"),
     "p8_or": ("let x : Part = Part where (.size > 45 | .size < 3)", "x", "SELECT p_partkey::BIGINT k, p_partkey::BIGINT v, 1::BIGINT w FROM part WHERE p_size > 45 OR p_size < 3"),
+    "p5_not_related": ("let has = ~((Order where .total > 400000) . customer)\nlet x : Customer = Customer where not has", "x", f"SELECT c_custkey::BIGINT k, c_custkey::BIGINT v, 1::BIGINT w FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {TOTAL} > 40000000)"),
+    "p8_or_related": ("let has = ~((Order where .total > 400000) . customer)\nlet x : Customer = Customer where (has | .acctbal > 8000)", "x", f"SELECT c_custkey::BIGINT k, c_custkey::BIGINT v, 1::BIGINT w FROM customer WHERE {BAL} > 800000 OR c_custkey IN (SELECT o_custkey FROM orders WHERE {TOTAL} > 40000000)"),
     "p9_sides": ("let f : Part -> Text * Int = (.brand , .size)\nlet x : Part -> Int = snd f", "x", "SELECT p_partkey::BIGINT k, p_size::BIGINT v, 1::BIGINT w FROM part"),
     "j1_compose": ("let sup : Nation -> Supplier = ~(Supplier . nation)\nlet x : Region -> Supplier = ~(Nation . region) . sup", "x", "SELECT n_regionkey::BIGINT k, s_suppkey::BIGINT v, 1::BIGINT w FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "j1_weights": ("let x : Region -> Text = ~(Nation . region) . ~(Customer . nation) . segment", "x", "SELECT n_regionkey::BIGINT k, c_mktsegment v, count(*)::BIGINT w FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"),
     "j3_semijoin": ("let rich : Customer = Customer where .acctbal > 9500\nlet x : Order -> Customer = .customer[rich]", "x", f"SELECT o_orderkey::BIGINT k, o_custkey::BIGINT v, 1::BIGINT w FROM orders JOIN customer ON o_custkey = c_custkey WHERE {BAL} > 950000"),
-    "j3_has_orders": ("let has = ~(Order . customer)\nlet x : Customer = Customer where has", "x", "SELECT c_custkey::BIGINT k, c_custkey::BIGINT v, 1::BIGINT w FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
-    "j4_antijoin": ("let has = ~(Order . customer)\nlet x : Customer = Customer except has", "x", "SELECT c_custkey::BIGINT k, c_custkey::BIGINT v, 1::BIGINT w FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "j3_has_orders": ("let has = ~((Order where .total > 400000) . customer)\nlet x : Customer = Customer where has", "x", f"SELECT c_custkey::BIGINT k, c_custkey::BIGINT v, 1::BIGINT w FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE {TOTAL} > 40000000)"),
+    "j4_antijoin": ("let has = ~((Order where .total > 400000) . customer)\nlet x : Customer = Customer except has", "x", f"SELECT c_custkey::BIGINT k, c_custkey::BIGINT v, 1::BIGINT w FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {TOTAL} > 40000000)"),
     "j6_arithmetic": ("let x : Part -> Money = .price * .size", "x", f"SELECT p_partkey::BIGINT k, {PPRICE} * p_size v, 1::BIGINT w FROM part"),
     "j7_inverse": ("let x : Region -> Nation = ~(Nation . region)", "x", "SELECT n_regionkey::BIGINT k, n_nationkey::BIGINT v, 1::BIGINT w FROM nation"),
     "j8_by": ("let x : Text -> Int = Part.size by .brand", "x", "SELECT p_brand k, p_size::BIGINT v, count(*)::BIGINT w FROM part GROUP BY 1, 2"),
@@ -51,11 +53,12 @@ VIEWS: dict[str, tuple[str, str, str]] = {
     "a7_grand_total": ("let x : Unit -> Money = sum(Order.total by unit)", "x", f"SELECT 0::BIGINT k, sum({TOTAL})::BIGINT v, 1::BIGINT w FROM orders"),
     "a8_enum_totals": ("let x : OrderStatus -> Int = count((Order where .total > 400000) by .status)", "x", f"SELECT s k, (SELECT count(*) FROM orders WHERE o_orderstatus = s AND {TOTAL} > 40000000)::BIGINT v, 1::BIGINT w FROM (VALUES ('F'), ('O'), ('P')) t(s)"),
     "a9_having": ("let n : Customer -> Int = count(Order by .customer)\nlet x : Customer -> Int = n where > 14", "x", "SELECT o_custkey::BIGINT k, count(*)::BIGINT v, 1::BIGINT w FROM orders GROUP BY 1 HAVING count(*) > 14"),
-    "u1_union": ("let x : Nation -> Text = ~(Customer . nation) . segment | ~(Customer . nation) . segment", "x", "SELECT c_nationkey::BIGINT k, c_mktsegment v, 2 * count(*)::BIGINT w FROM customer GROUP BY 1, 2"),
-    "u2_intersect": ("let a = (Customer.segment by .nation)\nlet b = (((Customer where .acctbal > 0) . segment) by .nation)\nlet x = a & b", "x", f"SELECT c_nationkey::BIGINT k, c_mktsegment v, count(*)::BIGINT w FROM customer WHERE {BAL} > 0 GROUP BY 1, 2"),
+    "u1_union": ("let x : Nation -> Text = ~(Customer . nation) . segment | ~(Supplier . nation) . name", "x", "SELECT c_nationkey::BIGINT k, c_mktsegment v, count(*)::BIGINT w FROM customer GROUP BY 1, 2 UNION ALL SELECT s_nationkey, s_name, count(*) FROM supplier GROUP BY 1, 2"),
+    "u2_intersect": ("let a = (((Customer where .acctbal < 5000) . segment) by .nation)\nlet b = (((Customer where .acctbal > 3000) . segment) by .nation)\nlet x = a & b", "x", f"SELECT c_nationkey::BIGINT k, c_mktsegment v, least(count(*) FILTER ({BAL} < 500000), count(*) FILTER ({BAL} > 300000))::BIGINT w FROM customer GROUP BY 1, 2 HAVING w > 0"),
     "u3_distinct": ("let x : Nation -> Text = distinct (~(Customer . nation) . segment)", "x", "SELECT DISTINCT c_nationkey::BIGINT k, c_mktsegment v, 1::BIGINT w FROM customer"),
     "c1_match": ('let x : Order -> Text = match .status { F => "final", O => .priority, _ => "pending" }', "x", "SELECT o_orderkey::BIGINT k, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN o_orderpriority ELSE 'pending' END v, 1::BIGINT w FROM orders"),
     "c2_if": ("let x : Part -> Int = if .size > 25 then .size - 25 else 0 - .size", "x", "SELECT p_partkey::BIGINT k, CASE WHEN p_size > 25 THEN p_size - 25 ELSE -p_size END::BIGINT v, 1::BIGINT w FROM part"),
+    "c2_if_related": ('let has = ~((Order where .total > 400000) . customer)\nlet x : Customer -> Text = if has then "large" else .segment', "x", f"SELECT c_custkey::BIGINT k, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE {TOTAL} > 40000000) THEN 'large' ELSE c_mktsegment END v, 1::BIGINT w FROM customer"),
     "f4_div": ("let x : Part -> Int = .size / (.size % 5)", "x", "SELECT p_partkey::BIGINT k, CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size // (p_size % 5) END::BIGINT v, 1::BIGINT w FROM part"),
     "f6_concat": ('let x : Part -> Text = .brand ++ "/" ++ .kind', "x", "SELECT p_partkey::BIGINT k, p_brand || '/' || p_type v, 1::BIGINT w FROM part"),
     "f8_dates": ("let x : Order = Order where .placed >= 1995-01-01 & .placed < 1996-01-01", "x", "SELECT o_orderkey::BIGINT k, o_orderkey::BIGINT v, 1::BIGINT w FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'"),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,8 @@ class App:
             self.next_id[n] = None if n in self.program.loaders else len(e.rows)  # counted when first needed
         self.log: list[dict] = []
         self.seq = 0
+        #: The last batch of a stream that an entity's table holds.
+        self.applied: dict[str, int] = {}
         self._age = 0
 
     # reading
@@ -225,9 +227,16 @@ class App:
             b = Base(self.program, t[1])
             return t[1], Fn(b, F.when(b.key == col, b.key), t, t)
         x = self.program.compile(node, None)
-        if isinstance(x, Fn) and x.right[0] == "entity":
+        if x.right[0] != "entity" or x.left != x.right:
+            raise Invalid("a target is a set of rows")
+        if isinstance(x, Fn):
+            if str(x.col) != str(x.base.key) and x.base.frame().where(x.col != x.base.key).head(1):
+                raise Invalid("a target is a set of rows")
             return x.right[1], x
         x = self.program.rel(x)
+        if x.df.where("l <> r").head(1):
+            raise Invalid("a target is a set of rows")
+        x.df = R.distinct(x.df)
         name = x.right[1]
         b = Base(self.program, name)
         self.program._views["target#"] = x
@@ -300,18 +309,27 @@ class App:
             come = signed.where("w > 0").select(*now.columns)
             self.program.bind(entity, cut(now.join(gone, "id", "left_anti").unionByName(come), f"table-{entity}"))
             self.program._views.clear()
+            top = come.agg(F.max("id")).first()[0]
+            if top is not None and self.next_id[entity] is not None:  # else it is counted when first needed
+                self.next_id[entity] = max(self.next_id[entity], top + 1)
             return {v: R.minus(self.view(v), before[v]) for v in watch}
 
     def follow(self, stream: DataFrame, entity: str, watch: list[str], out: str, checkpoint: str):
-        """A streaming query: each micro-batch of signed rows is one step; view changes go to out/<view>. A batch is applied once."""
-        done = {"batch": -1}
+        """A streaming query: each micro-batch of signed rows is one step; view changes go to out/<view>/batch_number=n.
+
+        Tables and the number of the batch that they hold are snapshot together to out/_state; after a restart, follow on with
+        an app restored from there. A batch that was not snapshot is applied again, over the changes it wrote.
+        """
+        if entity not in self.applied and _holds_file(self.spark, f"{out}/_state/meta.json"):
+            raise Invalid(f"batches were applied before: restore from {out}/_state")
 
         def batch(df: DataFrame, n: int) -> None:
-            if n <= done["batch"]:
+            if n <= self.applied.get(entity, -1):
                 return
             for v, delta in self.step(entity, df, watch).items():
-                delta.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/{v}")
-            done["batch"] = n
+                delta.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/{v}/batch_number={n}")
+            self.applied[entity] = n
+            self.snapshot(f"{out}/_state")
 
         return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -330,29 +348,52 @@ class App:
         return app
 
     def snapshot(self, path: str) -> None:
+        """Writes every table to a folder of its own below path, and then, in one small file, which folder holds and what numbers follow.
+
+        The tables of earlier snapshots stay, since frames of a restored app may read them; a writer that dies leaves the last snapshot in force.
+        """
+        folder = f"at-{self.seq}-{uuid.uuid4().hex}"
         for n in self.program.entities:
             if not n.endswith("#"):
-                self.program.frame(n).write.mode("overwrite").parquet(f"{path}/{n}")
+                self.program.frame(n).write.parquet(f"{path}/{folder}/{n}")
         ids = _Ids(self)
-        meta = {"next_id": {n: ids[n] for n in self.next_id}, "seq": self.seq, "states": {k: _wire(v) for k, v in self.program.state_values.items()}}
-        Path(path).mkdir(parents=True, exist_ok=True)
-        Path(path, "meta.json").write_text(json.dumps(meta))
+        meta = {"folder": folder, "next_id": {n: ids[n] for n in self.next_id}, "seq": self.seq, "applied": self.applied, "states": {k: _wire(v) for k, v in self.program.state_values.items()}}
+        _put(self.spark, f"{path}/meta.json", json.dumps(meta))
 
     @classmethod
     def restore(cls, spark: SparkSession, source: str, path: str) -> App:
         app = cls(spark, source)
-        meta = json.loads(Path(path, "meta.json").read_text())
+        meta = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/meta.json", wholetext=True).collect()))  # one small file
         for n in app.program.entities:
             if not n.endswith("#"):
-                df = spark.read.parquet(f"{path}/{n}")
-                if df.agg(F.max("id")).first()[0] is not None and df.agg(F.max("id")).first()[0] >= meta["next_id"][n]:
+                df = spark.read.parquet(f"{path}/{meta['folder']}/{n}")
+                top = df.agg(F.max("id")).first()[0]
+                if top is not None and top >= meta["next_id"][n]:
                     raise Invalid(f"`{n}` has ids beyond its counter")
                 app.program.bind(n, df)
-        app.next_id, app.seq = meta["next_id"], meta["seq"]
+        app.next_id, app.seq, app.applied = meta["next_id"], meta["seq"], meta["applied"]
         app.program.state_values.update({k: _unwire(v) for k, v in meta["states"].items()})
         return app
 
 
+def _holds_file(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file to whatever store Spark reads the path from, and puts it in place by a rename."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = at.getFileSystem(conf)
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    fs.rename(new, at)
+
+
 class _Ids(dict):
     """The ids that come next; those of loaded tables follow the largest one there."""
 
