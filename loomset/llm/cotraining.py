@@ -64,9 +64,9 @@ class Rows:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.width, n = width, [len(r[0]) for r in rows]
-        self.at = np.repeat(np.arange(len(rows)), n)
-        self.col = np.concatenate([r[0] for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
-        self.val = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
+        self.at = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+        self.col = np.concatenate([r[0] for r in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.val = np.concatenate([r[1] for r in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
         self.n = len(rows)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -115,11 +115,11 @@ class Views:
     def content(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         at = [self.words[w] for w in words_of(text) & self.words.keys()]
         s = shape(text)
-        return np.array(at + list(range(len(self.words), len(self.words) + len(s)))), np.array([0.3] * len(at) + [3 * v for v in s])
+        return np.array(at + list(range(len(self.words), len(self.words) + len(s))), np.int32), np.array([0.3] * len(at) + [3 * v for v in s])
 
     def meta(self, m: tuple) -> tuple[np.ndarray, np.ndarray]:
         at = [self.values[v] for v in about(*m) if v in self.values]
-        return np.array(at, np.int64), np.ones(len(at))
+        return np.array(at, np.int32), np.ones(len(at))
 
 
 class CoTrained:
@@ -186,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     views = Views([r["text"] for g in got for r in g], metas[0] + metas[1])
     content = [Rows([views.content(r["text"]) for r in g], len(views.words) + views.n_shape) for g in got]
     meta = [Rows([views.meta(m) for m in g], len(views.values)) for g in metas]
-    make = lambda k: CoTrained(content[0], meta[0], np.array([float(r[k] > 0) for r in got[0]]), content[1], meta[1])
+    given = {k: np.array([float(r[k] > 0) for r in got[0]]) for k in ("quality", "toxic")}
+    del got  # the texts aren't held while the views are trained
+    make = lambda k: CoTrained(content[0], meta[0], given[k], content[1], meta[1])
     return views, make("quality"), make("toxic")
 
 
