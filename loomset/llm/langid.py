@@ -18,7 +18,6 @@ are predicted one by one.
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import bound_arrow, documents
 
 ORDER, SAMPLE_CHARS, REMEMBERED = 4, 400_000, 300_000
-_letter = re.compile(r"[^\W\d_]").search
+
+
+def _letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 class Trees:

@@ -2,7 +2,7 @@
 
 A text is cut where no token can cross: before each run of ASCII white space. Stretches that were met
 before come from a table; new stretches of ASCII and Latin-1 letters go through the tokenizer's own merges piece by piece,
-all others through the whole tokenizer. The table forgets what was long not met, which changes no result.
+all others through the whole tokenizer. Texts that may name an added token are encoded whole, as the library does by default. The table forgets what was long not met, which changes no result.
 """
 
 from __future__ import annotations
@@ -46,6 +46,9 @@ class Ids:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        #: As the library sets it: names of added tokens in a text become those tokens.
+        self.given = Tokenizer.from_file(path)
+        self.marks = sorted({t.content[:2] for t in self.given.get_added_tokens_decoder().values()})
         self.merges = self.whole.model
         self.keeps_space = keeps_space
         if keeps_space:
@@ -72,6 +75,8 @@ class Ids:
         return b"".join([self.of_piece[p] for p in parts])
 
     def __call__(self, text: str) -> np.ndarray:
+        if any(m in text for m in self.marks):
+            return np.array(self.given.encode(text, add_special_tokens=False).ids, "<u4")
         if self.keeps_space and not text.isascii() and _odd_space.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
         return np.frombuffer(b"".join(map(self.of_stretch.__getitem__, self.stretches(text))), "<u4")

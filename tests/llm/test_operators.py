@@ -366,3 +366,19 @@ def test_line_dedup_finds_pairs_within_long_lists(spark):
         rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
     got = {r["i"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("size(removed) > 0").select("doc.doc_id").toDF("i").collect()}
     assert got <= set(range(1, 300, 2)) and len(got) >= 145
+
+
+@pytest.mark.parametrize("name,spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_ids_of_texts_that_name_added_tokens(name, spaced):
+    from loomset.llm.tokens import ids_of
+
+    rng, path = random.Random(4), public_tokenizers.path(name)
+    whole, ids = Tokenizer.from_file(path), ids_of(path, spaced)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "end", " of", "\n", "  ", "Ünder", "don't", "12", "<", "É"]
+    for _ in range(400):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(9)))
+        assert ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_texts_without_letters_have_no_language():
+    assert not any(map(langid._letter, ["", "² ½ Ⅷ _ 12 ٣"])) and all(map(langid._letter, ["12 a", "ß", "中"]))
