@@ -7,8 +7,9 @@ are alike. Statistics are frozen, and contexts begin at the space before a word,
 length is the same wherever it stands: it is found once and looked up afterwards, and a text's code
 length is the exact sum over its words. The shortest code wins.
 
-Trees are learned from a bounded sample: about `sample_chars` characters of each language, documents
-chosen by hash. Every whole text is coded.
+Trees are learned from a bounded sample: about `sample_chars` characters of each language. Different
+texts are chosen by hash, at least one of each language; of one longer than `sample_chars`, a stretch
+of that length whose place its hash gives. Every whole text is coded.
 
 Defined results: null texts and texts without a letter give `und` with score 0, as do all texts if
 there is nothing to learn from; ties go to the language first by code point; rows that repeat a doc_id
@@ -109,13 +110,19 @@ class Coder:
 
 def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Trees:
     """docs: (doc_id, text, lang) to learn from. Takes about sample_chars characters of each language."""
-    d = docs.where("text is not null and lang is not null").withColumn("n", F.length("text"))
-    sizes = d.where(F.col("n") <= sample_chars).groupBy("lang").agg(F.sum("n").alias("all_chars"))
-    share = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    sizes = sizes.select(F.col("lang").alias("l"), (F.lit(float(sample_chars)) / F.greatest("all_chars", F.lit(1))).alias("part"))
-    picked = d.where(F.col("n") <= sample_chars).join(sizes, F.col("lang") == F.col("l")).where(share < F.col("part")).select("lang", "text")
+    h = F.xxhash64(F.lit("langid"), "text")
+    d = docs.where("text is not null and lang is not null").select("lang", "text", h.alias("h"), F.length("text").alias("n"))
+    # Sizes are those of different texts, so that copies neither crowd the sample nor thin it out; no text is shuffled.
+    one = d.select("lang", "h", F.least("n", F.lit(sample_chars)).alias("n")).groupBy("lang", "h").agg(F.max("n").alias("n"))
+    place = F.pmod(F.col("h"), F.lit(1 << 30))
+    sizes = one.groupBy("lang").agg(F.sum("n").alias("all_chars"), F.min(F.struct(place, "h"))["h"].alias("least"))
+    sizes = sizes.select(F.col("lang").alias("l"), "least", (F.lit(float(sample_chars)) / F.greatest("all_chars", F.lit(1)) * (1 << 30)).alias("below"))
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.col("n") - sample_chars, F.lit(0)) + 1).cast("int") + 1
+    # One row a language, as many as there are trees on the driver.
+    picked = d.join(F.broadcast(sizes), F.col("lang") == F.col("l")).where((place < F.col("below")) | (F.col("h") == F.col("least")))
+    picked = picked.select("lang", "h", F.substr("text", start, F.lit(sample_chars)).alias("text")).dropDuplicates(["lang", "h"])
     texts: dict[str, list[str]] = defaultdict(list)
-    for r in picked.collect():  # about sample_chars a language
+    for r in picked.orderBy("lang", "h").collect():  # about sample_chars a language
         texts[r["lang"]].append(r["text"])
     return Trees(texts)
 

@@ -2,9 +2,11 @@
 
 A word is spelled by pieces of an existing vocabulary, its first piece bearing the word mark. All
 segmentations count: the forward recursion, in log space, adds their probabilities up. The vocabulary's
-own scores (ranks) give the first piece probabilities, passes of expectation maximisation over all
-distinct training words bring them to the corpus, and a further arc over the whole word has the
-word's own training count. A text's probability is the product over its words and its end.
+own scores, frozen, weigh the pieces (they are ranks, so piece r has a share in proportion to
+1 / (r + 50)). A text's probability is the product over its words and its end, whose share is that of
+ends among the training tokens. If asked for, `passes` of expectation maximisation over all distinct
+training words bring the scores to the corpus, and `whole_words` adds an arc over the whole word that
+has the word's own training count.
 
 Distinct words are counted with partial sums, scored once, and brought back to the documents: words
 that make up at least one part in HOT of all tokens (so at most HOT words) by broadcast, all others by
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_arrow, cut, documents
 
-HOT, FLUSH, PRIOR, MARK, PASSES = 1 << 16, 400_000, 200.0, "▁", 2
+HOT, FLUSH, PRIOR, MARK = 1 << 16, 400_000, 200.0, "▁"
 _MULTIPLY, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOG10 = math.log(10)
 
@@ -206,7 +208,7 @@ def expected(counts: DataFrame, pieces: Pieces) -> np.ndarray:
     return out
 
 
-def lattice_score(docs: DataFrame, learns: Column, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lattice_score(docs: DataFrame, learns: Column, vocabulary_path: str, *, passes: int = 0, whole_words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, learned (from), n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     bound_arrow(spark)
@@ -217,11 +219,13 @@ def lattice_score(docs: DataFrame, learns: Column, vocabulary_path: str, *, id_c
     n, v = (t[0] or 0) + ends, (t[1] or 0) + (ends > 0)
     pieces = vocabulary(vocabulary_path)
     prior = np.exp(pieces.logp)
-    for _ in range(PASSES):
+    for _ in range(passes):
         e = expected(counts, pieces)
-        pieces.logp = np.log((e + PRIOR * prior) / (e.sum() + PRIOR + ends))  # the end takes its share beside the pieces
+        pieces.logp = np.log((e + PRIOR * prior) / (e.sum() + PRIOR))
     shared = spark.sparkContext.broadcast(pieces)
-    known = n / (n + v) if n else 0.0  # Witten-Bell: the share of words that were met before
+    known = n / (n + v) if n and whole_words else 0.0  # Witten-Bell: the share of words that were met before
+    p_end = (ends + 1) / (n + 2)  # each token is the end or a word
+    log_word = math.log1p(-p_end)
     log_known, log_new = (math.log(known) if known else -math.inf), math.log(1 - known)
     base = lambda c: math.log10((c + 1) / (n + v + 1))
 
@@ -231,8 +235,8 @@ def lattice_score(docs: DataFrame, learns: Column, vocabulary_path: str, *, id_c
             words = batch.column(0).to_pylist()
             c = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             with np.errstate(divide="ignore"):
-                whole = log_known + np.log(c / max(n, 1)) if n else np.full(len(c), -np.inf)
-            s = np.logaddexp(whole, log_new + p.words(words, p.logp)) / _LOG10
+                whole = log_known + np.log(c / max(n - ends, 1)) if known else np.full(len(c), -np.inf)
+            s = (log_word + np.logaddexp(whole, log_new + p.words(words, p.logp))) / _LOG10
             b = np.log10((c + 1) / (n + v + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_hash(w) for w in words], pa.int64()), pa.array((c > 0).astype(np.int64)), batch.column(2), pa.array(b), pa.array(s)], names=["word", "h", "known", "n_all", "b", "s"])
 
@@ -241,7 +245,7 @@ def lattice_score(docs: DataFrame, learns: Column, vocabulary_path: str, *, id_c
     often = table.where(F.col("n_all") >= max((t[2] or 0) / HOT, 2))
     hot_rows = often.unionByName(table.join(twins, "h", "left_semi")).select("word", "known", "b", "s").collect()  # at most HOT, and words that share a hash
     hot = spark.sparkContext.broadcast({bytes(r["word"]): (r["known"], r["b"], r["s"]) for r in hot_rows})
-    end = (1 if ends else 0, base(ends), math.log10(max(known * ends / max(n, 1) + (1 - known) * max(ends, 1) / (e.sum() + PRIOR + max(ends, 1)), 1e-300)))
+    end = (1 if ends else 0, base(ends), math.log10(p_end))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, uid = hot.value, TaskContext.get().partitionId() << 40

@@ -2,7 +2,7 @@
 
 Counts of each text are made in place, without a shuffle of words: five-word windows are hashed into
 an array of the row, and only rows in which a hash repeats sort it to find the words covered. For each
-language and source, mergeable quantile sketches of the rates give fences around the median; they
+language and source, mergeable quantile sketches of the rates give fences beyond their far ends; they
 replace fixed cutoffs and are joined back to filter. Groups under `min_group` rows use their
 language's sketch, and languages under it the sketch of all rows.
 
@@ -20,14 +20,17 @@ from .common import WS, cut, documents
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rates with their fences: median, plus or minus `spread` times the gap from the median to the far decile, plus `slack`.
+#: Rates with their fences: the 0.98 quantile, plus `high` times its gap from the median, plus `slack`; below, the same from the 0.02 quantile.
 RATES = {
-    "symbol_rate": (None, 6.0, 0.05),
-    "upper_rate": (None, 6.0, 0.25),
-    "dup_line_rate": (None, 6.0, 0.5),
-    "repeat_rate": (None, 6.0, 0.2),
-    "word_length": (6.0, 6.0, 2.0),
+    "symbol_rate": (None, 1.0, 0.02),
+    "upper_rate": (None, 1.0, 0.05),
+    "dup_line_rate": (None, 1.0, 0.15),
+    "repeat_rate": (None, 1.0, 0.05),
+    "word_length": (1.0, 1.0, 1.0),
 }
+QUANTILES = [0.02, 0.5, 0.98]
+#: Fences of more groups than this are joined by shuffle, each group's rows dealt over SALTS tasks.
+FEW_GROUPS, SALTS = 100_000, 64
 MIN_GROUP, ACCURACY, MIN_WORDS, MAX_REPEAT_PERCENT = 50, 1000, 10, 20
 
 
@@ -63,7 +66,7 @@ def _rates(c: DataFrame) -> DataFrame:
 
 
 def _sketches(c: DataFrame, by: list[str], tag: str) -> DataFrame:
-    q = [F.percentile_approx(r, [0.1, 0.5, 0.9], ACCURACY).alias(f"{r}_{tag}") for r in RATES]
+    q = [F.percentile_approx(r, QUANTILES, ACCURACY).alias(f"{r}_{tag}") for r in RATES]
     return c.groupBy(*by).agg(F.count("*").alias(f"rows_{tag}"), *q)
 
 
@@ -78,11 +81,17 @@ def judge(c: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     picked = {}
     for r, (low, high, slack) in RATES.items():
         q = F.when(F.col("rows_g") >= min_group, F.col(f"{r}_g")).when(F.col("rows_l") >= min_group, F.col(f"{r}_l")).otherwise(F.col(f"{r}_a"))
-        picked[f"{r}_most"] = q[1] + high * (q[2] - q[1] if low is not None else q[1] - q[0]) + slack
+        picked[f"{r}_most"] = q[2] + high * (q[2] - q[1]) + slack
         if low is not None:
-            picked[f"{r}_least"] = q[1] - low * (q[1] - q[0]) - slack
-    fences = fences.select("lang_g", "source_g", *[v.alias(k) for k, v in picked.items()])
-    d = c.join(fences, F.col("lang").eqNullSafe(F.col("lang_g")) & F.col("source").eqNullSafe(F.col("source_g")), "left")
+            picked[f"{r}_least"] = q[0] - low * (q[1] - q[0]) - slack
+    fences = cut(fences.select("lang_g", "source_g", *[v.alias(k) for k, v in picked.items()]), "fences")
+    same = F.col("lang").eqNullSafe(F.col("lang_g")) & F.col("source").eqNullSafe(F.col("source_g"))
+    if fences.count() <= FEW_GROUPS:
+        d = c.join(F.broadcast(fences), same, "left")
+    else:
+        dealt = c.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars", "n_words"), F.lit(SALTS)))
+        copies = fences.withColumn("salt_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        d = dealt.join(copies, same & (F.col("salt") == F.col("salt_g")), "left").drop("salt", "salt_g")
     ok = F.lit(True)
     for k in picked:
         r = F.col(k.rsplit("_", 1)[0])
