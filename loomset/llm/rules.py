@@ -2,7 +2,7 @@
 
 Counts of each text are made in place, without a shuffle of words: five-word windows are hashed into
 an array of the row, and only rows in which a hash repeats sort it to find the words covered. For each
-language and source, mergeable quantile sketches of the rates give fences beyond their far ends; they
+language and source, mergeable quantile sketches of the rates give fences for each rate; they
 replace fixed cutoffs and are joined back to filter. Groups under `min_group` rows use their
 language's sketch, and languages under it the sketch of all rows.
 
@@ -20,15 +20,12 @@ from .common import WS, cut, documents
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rates with their fences: the 0.98 quantile, plus `high` times its gap from the median, plus `slack`; below, the same from the 0.02 quantile.
-RATES = {
-    "symbol_rate": (None, 1.0, 0.02),
-    "upper_rate": (None, 1.0, 0.05),
-    "dup_line_rate": (None, 1.0, 0.15),
-    "repeat_rate": (None, 1.0, 0.05),
-    "word_length": (1.0, 1.0, 1.0),
-}
-QUANTILES = [0.02, 0.5, 0.98]
+#: Rates whose fences stand around the median by SPREAD times the smaller gap to a quartile (so that up to a quarter of bad rows
+#: moves nothing), plus a slack: that below the median (None: no fence there) and that above.
+MIDDLES = {"symbol_rate": (None, 0.02), "upper_rate": (None, 0.1), "word_length": (1.2, 1.2)}
+#: Rates that are 0 for most rows: the 0.98 quantile of rows that pass the fixed rules, plus its gap from the median, plus a slack.
+TAILS = {"dup_line_rate": 0.1, "repeat_rate": 0.08}
+SPREAD, QUARTILES, FAR = 6.0, [0.25, 0.5, 0.75], [0.5, 0.98]
 #: Fences of more groups than this are joined by shuffle, each group's rows dealt over SALTS tasks.
 FEW_GROUPS, SALTS = 100_000, 64
 MIN_GROUP, ACCURACY, MIN_WORDS, MAX_REPEAT_PERCENT = 50, 1000, 10, 20
@@ -65,25 +62,34 @@ def _rates(c: DataFrame) -> DataFrame:
     return c.withColumns({"symbol_rate": F.col("n_symbols") / chars, "upper_rate": F.col("n_upper") / chars, "dup_line_rate": F.col("n_dup_lines") / lines, "repeat_rate": F.col("n_repeat_words") / n, "word_length": F.col("word_chars") / n})
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def _sketches(c: DataFrame, by: list[str], tag: str) -> DataFrame:
-    q = [F.percentile_approx(r, QUANTILES, ACCURACY).alias(f"{r}_{tag}") for r in RATES]
+    q = [F.percentile_approx(r, QUARTILES, ACCURACY).alias(f"{r}_{tag}") for r in MIDDLES]
+    q += [F.percentile_approx(F.when(~_base_failed(), F.col(r)), FAR, ACCURACY).alias(f"{r}_{tag}") for r in TAILS]
     return c.groupBy(*by).agg(F.count("*").alias(f"rows_{tag}"), *q)
 
 
 def judge(c: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """Counts with base_failed and kept; thresholds come from all rows of c."""
+    """Counts with fences, base_failed and kept; fences come from all rows of c that have MIN_WORDS."""
     c = cut(_rates(c), "rates")
-    # Rows that fail the fixed rules tell nothing of what is usual.
     usual = c.where(f"n_words >= {MIN_WORDS}")
     by_source = _sketches(usual, ["lang", "source"], "g").withColumnsRenamed({"lang": "lang_g", "source": "source_g"})
     by_lang = _sketches(usual, ["lang"], "l").withColumnsRenamed({"lang": "lang_l"})
     fences = by_source.join(by_lang, F.col("lang_g").eqNullSafe(F.col("lang_l"))).crossJoin(F.broadcast(_sketches(usual, [], "a")))  # one row
+    pick = lambda r: F.when(F.col("rows_g") >= min_group, F.col(f"{r}_g")).when(F.col("rows_l") >= min_group, F.col(f"{r}_l")).otherwise(F.col(f"{r}_a"))
     picked = {}
-    for r, (low, high, slack) in RATES.items():
-        q = F.when(F.col("rows_g") >= min_group, F.col(f"{r}_g")).when(F.col("rows_l") >= min_group, F.col(f"{r}_l")).otherwise(F.col(f"{r}_a"))
-        picked[f"{r}_most"] = q[2] + high * (q[2] - q[1]) + slack
-        if low is not None:
-            picked[f"{r}_least"] = q[0] - low * (q[1] - q[0]) - slack
+    for r, (below, above) in MIDDLES.items():
+        q = pick(r)
+        gap = SPREAD * F.least(q[1] - q[0], q[2] - q[1])
+        picked[f"{r}_most"] = q[1] + gap + above
+        if below is not None:
+            picked[f"{r}_least"] = q[1] - gap - below
+    for r, slack in TAILS.items():
+        q = pick(r)
+        picked[f"{r}_most"] = 2 * q[1] - q[0] + slack
     fences = cut(fences.select("lang_g", "source_g", *[v.alias(k) for k, v in picked.items()]), "fences")
     same = F.col("lang").eqNullSafe(F.col("lang_g")) & F.col("source").eqNullSafe(F.col("source_g"))
     if fences.count() <= FEW_GROUPS:
@@ -96,8 +102,7 @@ def judge(c: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     for k in picked:
         r = F.col(k.rsplit("_", 1)[0])
         ok = ok & F.coalesce(r <= F.col(k) if k.endswith("_most") else r >= F.col(k), F.lit(True))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & ok).drop("lang_g", "source_g")
+    return d.withColumn("base_failed", _base_failed()).withColumn("kept", ~_base_failed() & ok).drop("lang_g", "source_g")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

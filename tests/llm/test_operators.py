@@ -382,3 +382,117 @@ def test_ids_of_texts_that_name_added_tokens(name, spaced):
 
 def test_texts_without_letters_have_no_language():
     assert not any(map(langid._letter, ["", "² ½ Ⅷ _ 12 ٣"])) and all(map(langid._letter, ["12 a", "ß", "中"]))
+
+
+def test_classifier_lessons_are_means_of_every_unlabelled_document(spark):
+    rows = [(i, ("bad words here " if i % 3 == 0 else "good prose there ") * 3 + f"n{i % 7}", "en", f"s{i % 3}", 50) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    views = cotraining.Views([b"bad", b"good", b"here", b"n1"], ["lang=en", "source=s0", "source=s1"])
+    r = np.random.default_rng(1)
+    known, blank = cotraining.CoTrained(np.array([0.0, 1.0])), cotraining.CoTrained(np.array([0.0, 0.0]))
+    known.w, known.cal = [r.normal(size=w + 1) * 3 for w in views.widths], [(1.5, 0.2), (2.0, -0.3)]
+    got = cotraining.lessons(cotraining.features(d, views), views, [known, blank])
+    bins = len(cotraining.BINS) + 1
+    for v in (0, 1):
+        sums, docs = np.zeros((2 * bins, views.widths[v])), np.zeros(2 * bins)
+        for x in rows:
+            x = views.content(x[1]), views.meta(x[2:])
+            s = [a * ((f[1].astype(np.float32) * w[f[0]]).sum() + w[-1]) + b for f, w, (a, b) in zip(x, known.w, known.cal)]
+            p = 1 / (1 + math.exp(-s[1 - v]))
+            if p >= cotraining.CONFIDENT or p <= 1 - cotraining.CONFIDENT:
+                g = int(p > 0.5) * bins + np.digitize(s[v], cotraining.BINS)
+                sums[g, x[v][0]] += x[v][1]
+                docs[g] += 1
+        lesson, verdicts, weights = got[0][v]
+        assert (weights == docs).all() and docs.sum() > 0 and (verdicts == np.arange(2 * bins) // bins).all()
+        means = np.zeros_like(sums)
+        means[lesson.at, lesson.col] = lesson.val
+        assert np.allclose(means * docs[:, None], sums, atol=1e-2)
+        assert got[1][v][2].sum() == 0
+
+
+def test_classifier_with_repeated_ids_long_texts_and_null_labels(spark):
+    text = lambda i: ("BUY NOW!! " if i % 2 else "quiet prose ") * (20_000 if i == 6 else 10)
+    rows = [(i % 40, text(i), None, "s", None, "x") for i in range(80)] + [(7, text(7), "en", None, 1, "y")] * 50 + [(None, text(1), "en", "s", 1, "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)] + [(3, None, 1), (None, 1, 1), (9, 0, None)], "doc_id long, quality int, toxic int")
+    model = cotraining.fit(d, labels, labelled=30)
+    got = cotraining.score(d, model).collect()
+    assert len(got) == len(rows) and not model[2].known
+    kept = Counter((r["doc_id"], r["kept"]) for r in got)
+    assert kept[7, False] == 52 and kept[6, True] == 2 and kept[None, False] == 1
+    again = cotraining.score(d.repartition(7), cotraining.fit(d.repartition(7), labels, labelled=30)).collect()
+    assert sorted((r["quality"], r["toxic"]) for r in again) == sorted((r["quality"], r["toxic"]) for r in got)
+
+
+def test_rules_verdicts_follow_each_group(spark):
+    """kept by hand: fences from exact quantiles of each group."""
+    r = random.Random(4)
+    rows = []
+    for g, (lang, source) in enumerate([("en", "a"), ("en", None), (None, "a"), ("de", "rare")]):
+        for i in range(8 if source == "rare" else 120):
+            n, mean = r.randrange(10, 90), 4 + g + r.random()
+            n = 5 if i == 3 else n
+            rep = r.choice([0, 0, 0, n // 12, n // 7, n // 4])
+            rows.append((len(rows), lang, source, int(n * mean), r.choice([0, 0, 0, 0, n // 10]), n if i % 40 == 5 else r.randrange(n // 20 + 2), n // 5 + 2, r.choice([0, 0, 0, 1, n // 6]), n, rep))
+    names = "doc_id lang source word_chars n_symbols n_upper n_lines n_dup_lines n_words n_repeat_words".split()
+    d = spark.createDataFrame(rows, ", ".join(f"{c} {'string' if c in ('lang', 'source') else 'long'}" for c in names))
+    got = {x["doc_id"]: x for x in rules.judge(d).collect()}
+    dicts = [dict(zip(names, x)) for x in rows]
+    for x in dicts:
+        x.update(symbol_rate=x["n_symbols"] / x["word_chars"], upper_rate=x["n_upper"] / x["word_chars"], dup_line_rate=x["n_dup_lines"] / x["n_lines"], repeat_rate=x["n_repeat_words"] / x["n_words"], word_length=x["word_chars"] / x["n_words"])
+        x["failed"] = x["n_words"] < 10 or 100 * x["n_repeat_words"] > 20 * x["n_words"]
+    usual = [x for x in dicts if x["n_words"] >= 10]
+    quantile = lambda v, q: sorted(v)[max(math.ceil(q * len(v)) - 1, 0)]
+    reasons = Counter()
+    for x in dicts:
+        for same in (lambda y: (y["lang"], y["source"]) == (x["lang"], x["source"]), lambda y: y["lang"] == x["lang"], lambda y: True):
+            group = [y for y in usual if same(y)]
+            if len(group) >= rules.MIN_GROUP:
+                break
+        ok = True
+        for rate, (below, above) in rules.MIDDLES.items():
+            lo, mid, hi = (quantile([y[rate] for y in group], q) for q in rules.QUARTILES)
+            gap = rules.SPREAD * min(mid - lo, hi - mid)
+            bad = x[rate] > mid + gap + above or (below is not None and x[rate] < mid - gap - below)
+            reasons[rate] += bad
+            ok &= not bad
+        for rate, slack in rules.TAILS.items():
+            mid, far = (quantile([y[rate] for y in group if not y["failed"]], q) for q in rules.FAR)
+            reasons[rate] += x[rate] > 2 * far - mid + slack and not x["failed"]
+            ok &= x[rate] <= 2 * far - mid + slack
+        assert got[x["doc_id"]]["kept"] == (ok and not x["failed"]) and got[x["doc_id"]]["base_failed"] == x["failed"]
+    assert reasons["symbol_rate"] and reasons["upper_rate"]
+    few, rules.FEW_GROUPS = rules.FEW_GROUPS, 1
+    try:
+        assert {x["doc_id"]: x["kept"] for x in rules.judge(d).collect()} == {k: x["kept"] for k, x in got.items()}
+    finally:
+        rules.FEW_GROUPS = few
+
+
+def test_lattice_score_is_the_product_of_its_words(spark):
+    p = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["The cat sat", "a  thing\n", None, "the cat"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    train = [0, 3]
+    got = {r["doc_id"]: r for r in lattice.lattice_score(d, F.col("doc_id").isin(train), public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    n = sum(len(words(texts[i])) + 1 for i in train)
+    end = (len(train) + 1) / (n + 2)
+    known = {w for i in train for w in words(texts[i])}
+    for i, t in enumerate(texts):
+        w = words(t)
+        want = sum(math.log1p(-end) + p.words([x.encode()], p.logp)[0] for x in w) + math.log(end)
+        assert math.isclose(got[i]["score"], want / math.log(10), rel_tol=1e-9) and got[i]["n_known"] == sum(x in known for x in w) + 1
+    adapted = lattice.lattice_score(d, F.col("doc_id").isin(train), public_tokenizers.path("piece_bpe_32k.model"), passes=1, whole_words=True).collect()
+    assert {r["doc_id"]: r["score"] > got[r["doc_id"]]["score"] for r in adapted}[3]
+
+
+def test_languages_of_long_or_copied_texts_are_learned(spark):
+    en, de = "the cat and the dog sat on the mat ", "der hund und die katze auf der matte "
+    rows = [(i, en * 3, "en") for i in range(300)] + [(300, en * 2 + "more", "en"), (301, de * 2000, "de"), (302, None, "fr"), (303, "x", None)]
+    trees = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5000)
+    assert trees.langs == ["de", "en"]
+    # Copies count once; of the long text, one stretch of 5,000 characters.
+    assert sum(trees.at[1][b"a"].values()) <= 30 and 4000 < sum(trees.at[0][b""].values()) <= 5010
+    coder = langid.Coder(trees)
+    assert coder("die katze und").argmin() == 0 and coder("the cat and").argmin() == 1
