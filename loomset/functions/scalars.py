@@ -62,3 +62,18 @@ def arithmetic(op: str, a: Column, ta: tuple, b: Column, tb: tuple) -> tuple[Col
     if ta != tb:
         a, b = (a * 100 if ta == INT else a), (b * 100 if tb == INT else b)
     return (a + b if op == "+" else a - b), MONEY if MONEY in (ta, tb) else INT
+
+
+def reaches(op: str, stored: Column, t: tuple, kind: str, value) -> tuple[Column, ...]:
+    """Conditions on the stored column (an amount, a time) that a field's comparison with a literal implies."""
+    if t == MONEY and kind in ("int", "money"):
+        cents = value * 100 if kind == "int" else value
+        if abs(cents) >= 1 << 48:
+            return ()
+        least, most = stored >= (cents - 1) / 100, stored <= (cents + 1) / 100
+    elif t == DATE and kind == "date":
+        day = literal(kind, value)[0]
+        least, most = stored >= day, stored < F.date_add(day, 1)
+    else:
+        return ()
+    return {">": (least,), ">=": (least,), "<": (most,), "<=": (most,), "=": (least, most)}.get(op, ())

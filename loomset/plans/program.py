@@ -7,17 +7,19 @@ further paths share, and absence is NULL. Everything else is a frame of weighted
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import DATE, INT, MONEY, TEXT, UNIT, arithmetic, compare, literal, wrapping
+from ..functions.scalars import DATE, INT, MONEY, TEXT, UNIT, arithmetic, compare, literal, reaches, wrapping
 from ..operators import relations as R
 from ..operators.cutting import cut
 from ..sources.lexer import SyntaxProblem
 from ..sources.parser import parse
+from ..sources.tables import STORED
 
 BOOL = ("atoms", ("False", "True"))
 NON_MONOTONE = {"distinct", "anti", "fold", "not"}
@@ -44,6 +46,8 @@ class Entity:
     key: list[str] | None
     rows: list[dict] = field(default_factory=list)
     frame: DataFrame | None = None
+    #: The frame with stored columns beside the fields made of them, while it is as it was loaded.
+    scan: DataFrame | None = None
 
 
 class Base:
@@ -55,10 +59,10 @@ class Base:
         self.key = F.col("e_id")
 
     def fields(self, key: Column, entity: str) -> dict[str, str]:
-        fields = ["id", *self.program.entities[entity].fields]
+        rows = self.program.scan(entity)
         if str(key) == str(self.key) and entity == self.entity:
-            return {f: f"e_{f}" for f in fields}
-        return self._join(("entity", str(key), entity), lambda: self.program.frame(entity), key, fields, "id")
+            return {f: f"e_{f}" for f in rows.columns}
+        return self._join(("entity", str(key), entity), lambda: rows, key, rows.columns, "id")
 
     def view(self, key: Column, name: str, rel: Rel) -> Column:
         return F.col(self._join(("view", str(key), name), lambda: rel.df, key, ["l", "r"], "l")["r"])
@@ -74,8 +78,8 @@ class Base:
         return self.joins[what][2]
 
     def frame(self) -> DataFrame:
-        e = self.program.entities[self.entity]
-        df = self.program.frame(self.entity).select(*[F.col(c).alias(f"e_{c}") for c in ("id", *e.fields)])
+        df = self.program.scan(self.entity)
+        df = df.select(*[F.col(c).alias(f"e_{c}") for c in df.columns])
         for other, on, _ in self.joins.values():
             df = df.crossJoin(F.broadcast(other)) if on is None else df.join(other, on, "left")  # the state is one row
         return df
@@ -94,6 +98,18 @@ class Fn:
     col: Column
     left: tuple
     right: tuple
+    #: Conditions, never NULL, under which col is `value`; col is NULL otherwise. A scan takes them as filters.
+    only: tuple[Column, ...] = ()
+    value: Column | None = None
+    #: The stored column that a field is made of.
+    stored: Column | None = None
+
+    def open(self) -> Column:
+        return self.col if self.value is None else self.value
+
+
+def gated(base: Base, only: tuple[Column, ...], value: Column, left: tuple, right: tuple) -> Fn:
+    return Fn(base, F.when(reduce(Column.__and__, only), value), left, right, only, value)
 
 
 @dataclass
@@ -229,7 +245,9 @@ class Program:
     def bind(self, entity: str, df: DataFrame) -> None:
         """df: id and the entity's fields; a null is a field that has no row."""
         e = self.entities[entity]
-        e.frame = df.select(F.col("id").cast("long").alias("id"), *[F.col(f).cast(sql_type(t)).alias(f) for f, t in e.fields.items()])
+        columns = [F.col("id").cast("long").alias("id"), *[F.col(f).cast(sql_type(t)).alias(f) for f, t in e.fields.items()]]
+        e.frame, kept = df.select(*columns), [c for c in df.columns if c.endswith(STORED)]
+        e.scan = df.select(*columns, *kept) if kept else None
         self._views.clear()
 
     def frame(self, entity: str) -> DataFrame:
@@ -242,6 +260,11 @@ class Program:
             e.frame = self.spark.createDataFrame([tuple(r.get(c) for c in ("id", *e.fields)) for r in e.rows], schema)
         return e.frame
 
+    def scan(self, entity: str) -> DataFrame:
+        """The entity's frame, with stored columns where there are any."""
+        frame, e = self.frame(entity), self.entities[entity]
+        return frame if e.scan is None else e.scan
+
     def state_frame(self) -> DataFrame:
         schema = T.StructType([T.StructField(s, sql_type(t)) for s, t in self.states.items()])
         return self.spark.createDataFrame([tuple(self.state_values[s] for s in self.states)], schema)
@@ -253,7 +276,10 @@ class Program:
     def rel(self, x: Fn | Rel) -> Rel:
         if isinstance(x, Rel):
             return Rel(R.consolidate(x.df), x.left, x.right, x.functional) if x.loose else x
-        df = x.base.frame().select(x.base.key.alias("l"), x.col.alias("r")).where("l is not null and r is not null")
+        df = x.base.frame()
+        for c in x.only:
+            df = df.where(c)
+        df = df.select(x.base.key.alias("l"), x.open().alias("r")).where("l is not null and r is not null")
         return Rel(df.withColumn("w", F.lit(1).cast("long")), x.left, x.right, True)
 
     # views
@@ -364,7 +390,7 @@ class Program:
     def _constant(self, value: Column, t: tuple, cur: Cursor | None) -> Fn | Rel:
         if cur is None:
             return self.point(value, t)
-        return Fn(cur.base, F.when(self._live(cur).isNotNull(), value), ("entity", cur.base.entity), t)
+        return gated(cur.base, (self._live(cur).isNotNull(),), value, ("entity", cur.base.entity), t)
 
     def _literal(self, node, cur):
         if node[0] == "atom" and cur is None:
@@ -391,8 +417,8 @@ class Program:
                 inner = self.compile(body, cur)
                 if isinstance(inner, Fn) and inner.base is cur.base:
                     if declared and (inner.right, declared[1]) == (INT, MONEY):
-                        inner = Fn(inner.base, inner.col * 100, inner.left, MONEY)
-                    return Fn(inner.base, inner.col, inner.left, declared[1]) if declared else inner
+                        inner = self._as(inner, MONEY)
+                    return replace(inner, right=declared[1]) if declared else inner
             return self._at(n, self._view(n), cur)
         if n in self.states:
             return self._constant(cur.base.state(n), self.states[n], cur) if cur is not None else self.point(literal_of(self.state_values[n]), self.states[n])
@@ -423,8 +449,9 @@ class Program:
         if cur is None:
             raise CheckProblem(f"`.{node[1]}` needs a row")
         if cur.type[0] == "entity" and node[1] in self.entities[cur.type[1]].fields:
-            col = F.col(cur.base.fields(cur.key, cur.type[1])[node[1]])
-            return Fn(cur.base, col, ("entity", cur.base.entity), self.entities[cur.type[1]].fields[node[1]])
+            names = cur.base.fields(cur.key, cur.type[1])
+            stored = names.get(f"{node[1]}{STORED}")
+            return Fn(cur.base, F.col(names[node[1]]), ("entity", cur.base.entity), self.entities[cur.type[1]].fields[node[1]], stored=None if stored is None else F.col(stored))
         if node[1] in self.lets or node[1] in self.states or node[1] == "unit":
             return self._name(("name", node[1]), cur)
         raise CheckProblem(f"{cur.type} has no `{node[1]}`")
@@ -447,21 +474,21 @@ class Program:
                 b = self.compile(step, at if own is None or own == a.right else None)
             if isinstance(b, Fn) and b.base is a.base:
                 return b
-            if isinstance(b, Rel) and b.left == a.left and b.left != a.right:
-                return b  # a relation read at the path already
-            if isinstance(b, Rel) and b.left == ("entity", a.base.entity) and node[2][0] == "hop" and str(a.col) != str(a.base.key):
-                return b
-            return self._composed(a, b)
+            # No column at the path: the relation itself, from its own keys, composed once.
+            if node[2][0] == "hop":
+                return self._composed(a, self._name(("name", step[1]), None))
+            return self._composed(a, self.compile(step, self.cursor(a.right)))
         at = self.cursor(a.right)
         b = self._path(step, at) if node[2][0] == "hop" and at is not None else self._name(("name", node[2][1]), None) if node[2][0] == "hop" else self.compile(step, at)
         return self._composed(a, b)
 
-    def _pairwise(self, a, b, value, right, keep=None, left_only=False):
+    def _pairwise(self, a, b, value, right, keep=None, also=()):
         if isinstance(a, Fn) and isinstance(b, Fn) and a.base is b.base:
-            ok = a.col.isNotNull() & b.col.isNotNull()
+            x, y = a.open(), b.open()
+            only = (*a.only, *b.only, x.isNotNull(), y.isNotNull())
             if keep is not None:
-                ok = ok & keep(a.col, b.col)
-            return Fn(a.base, F.when(ok, value(a.base.key, a.col, b.col)), a.left, right)
+                only = (*only, *also, keep(x, y))
+            return gated(a.base, only, value(a.base.key, x, y), a.left, right)
         a, b = self.rel(a), self.rel(b)
         if a.left != b.left:
             raise CheckProblem(f"{a.left} and {b.left} are not one key")
@@ -492,7 +519,13 @@ class Program:
         a, b = self._both_sides(node[2], node[3], cur)
         if not self.comparable(a.right, b.right):
             raise CheckProblem(f"{a.right} and {b.right} can't be compared")
-        return self._pairwise(a, b, lambda k, x, y: k, a.left, lambda x, y: compare(node[1], x, a.right, y, b.right))
+        return self._pairwise(a, b, lambda k, x, y: k, a.left, lambda x, y: compare(node[1], x, a.right, y, b.right), self._reach(a, node[1], node[3]))
+
+    def _reach(self, a: Fn | Rel, op: str, v) -> tuple[Column, ...]:
+        """What a comparison with a literal says of the stored column."""
+        if isinstance(a, Fn) and a.stored is not None and v[0] in ("int", "money", "date"):
+            return reaches(op, a.stored, a.right, *v)
+        return ()
 
     def _members(self, t: tuple, values: list) -> list:
         for v in values:
@@ -505,12 +538,23 @@ class Program:
         values = self._members(a.right, node[2])
         a = a if isinstance(a, Fn) else self.rel(a)
         if isinstance(a, Fn):
-            return Fn(a.base, F.when(a.col.isin(values), a.base.key), a.left, a.left)
+            return gated(a.base, (*a.only, a.open().isNotNull(), a.open().isin(values)), a.base.key, a.left, a.left)
         return Rel(R.consolidate(a.df.where(F.col("r").isin(values)).select("l", F.col("l").alias("r"), "w")), a.left, a.left, a.functional)
 
     def _union(self, node, cur):
-        a, b = (self.rel(x) for x in self._both_sides(node[1], node[2], cur))
-        return Rel(R.union(a.df, b.df), *self._joined(a, b))
+        a, b = self._both_sides(node[1], node[2], cur)
+        t = self._joined(a, b)
+        a, b = (self.rel(self._as(x, t[1])) for x in (a, b))
+        return Rel(R.union(a.df, b.df), *t)
+
+    @staticmethod
+    def _as(x: Fn | Rel, t: tuple) -> Fn | Rel:
+        """Int as Money, where that is what both sides join to."""
+        if (x.right, t) != (INT, MONEY):
+            return x
+        if isinstance(x, Fn):
+            return replace(x, col=x.col * 100, right=MONEY, value=x.open() * 100, stored=None)
+        return replace(x, df=x.df.withColumn("r", F.col("r") * 100), right=MONEY)
 
     def _joined(self, a, b) -> tuple[tuple, tuple]:
         if a.left != b.left:
@@ -529,6 +573,7 @@ class Program:
     def _both(self, node, cur):
         a, b = self._both_sides(node[1], node[2], cur)
         t = self._joined(a, b)
+        a, b = self._as(a, t[1]), self._as(b, t[1])
         if isinstance(a, Fn) and isinstance(b, Fn) and a.base is b.base:
             return Fn(a.base, F.when(a.col == b.col, a.col), a.left, t[1])
         return Rel(R.intersect(self.rel(a).df, self.rel(b).df), *t, a.functional if isinstance(a, Rel) else True)
@@ -548,7 +593,8 @@ class Program:
         return a if isinstance(a, Fn) else Rel(R.distinct(a.df), a.left, a.right, a.functional)
 
     def _inverse(self, node, cur):
-        a = self.rel(self.compile(node[1], cur))
+        own = self.domain(node[1]) or (None if cur is None else cur.type)
+        a = self.rel(self.compile(node[1], self.cursor(own)))
         return Rel(R.inverse(a.df), a.right, a.left)
 
     def _side(self, node, cur):
@@ -574,10 +620,13 @@ class Program:
                 if not self.comparable(a.right, t):
                     raise CheckProblem(f"{a.right} and {t} can't be compared")
                 return compare(p[1], x, a.right, v, t)
-            return Fn(a.base, F.when(keep(a.col), a.col), a.left, a.right) if isinstance(a, Fn) else Rel(a.df.where(keep(F.col("r"))), a.left, a.right, a.functional)
+            if isinstance(a, Fn):
+                also = self._reach(a, p[1], p[2]) if p[0] == "right" else ()
+                return gated(a.base, (*a.only, a.open().isNotNull(), *also, keep(a.open())), a.open(), a.left, a.right)
+            return Rel(a.df.where(keep(F.col("r"))), a.left, a.right, a.functional)
         if isinstance(a, Fn):
             try:
-                return Fn(a.base, F.when(self.truth(p, Cursor(a.base, a.col, a.right)), a.col), a.left, a.right)
+                return gated(a.base, (*a.only, self.truth(p, Cursor(a.base, a.col, a.right))), a.open(), a.left, a.right)
             except NotFused:
                 pass
         a = self.rel(a)
@@ -594,7 +643,7 @@ class Program:
         cur = self.cursor(t)
         if cur is not None:
             try:
-                return self.rel(Fn(cur.base, F.when(self.truth(p, cur), cur.key), t, t))
+                return self.rel(gated(cur.base, (self.truth(p, cur),), cur.key, t, t))
             except NotFused:
                 pass
         if p[0] == "union":
@@ -625,7 +674,8 @@ class Program:
         x = self.compile(p, cur)
         if not isinstance(x, Fn) or x.base is not cur.base:
             raise NotFused
-        return F.coalesce(x.col == "True", no) if bools and x.right == BOOL else x.col.isNotNull()
+        holds = reduce(Column.__and__, (*x.only, x.open().isNotNull()))
+        return holds & (x.open() == "True") if bools and x.right == BOOL else holds
 
     def _not(self, node, cur):
         if cur is None:
@@ -653,7 +703,8 @@ class Program:
         return Rel(R.compose(R.inverse(y.df), x.df), y.right, x.right)
 
     def _fold(self, node, cur):
-        name, image = node[1], self.compile(node[2], cur)
+        own = self.domain(node[2])
+        name, image = node[1], self.compile(node[2], cur if own is None else self.cursor(own))
         image = image if isinstance(image, Rel) else self.rel(image)
         if name != "count" and image.right not in (INT, MONEY):
             raise CheckProblem(f"`{name}` needs numbers")
@@ -685,6 +736,7 @@ class Program:
         t = arms[0][1].right
         for _, a in arms[1:]:
             t = self.join_types(t, a.right)
+        arms = [(p, self._as(a, t)) for p, a in arms]
         gates = lambda x: [F.coalesce(compare("=", x, of.right, *literal(*p)), F.lit(False)) for p in named]
         if isinstance(of, Fn) and all(isinstance(a, Fn) and a.base is of.base for _, a in arms) and len({p for p in named}) == len(named):
             out = F.lit(None)
@@ -713,6 +765,7 @@ class Program:
                 c = self.truth(node[1], cur)
                 a, b = self.compile(node[2], cur), self.compile(node[3], cur)
                 t = self.join_types(a.right, b.right)
+                a, b = self._as(a, t), self._as(b, t)
                 if isinstance(a, Fn) and isinstance(b, Fn):
                     return Fn(cur.base, F.when(c, a.col).otherwise(b.col), a.left, t)
                 yes = self.rel(Fn(cur.base, F.when(c, cur.key), cur.type, cur.type)).df
@@ -725,10 +778,12 @@ class Program:
     def _if_related(self, node, cur):
         """The choice where the condition is a relation: rows that have a pair in it take the first arm."""
         a, b = self.compile(node[2], cur), self.compile(node[3], cur)
+        t = self.join_types(a.right, b.right)
+        a, b = self._as(a, t), self._as(b, t)
         every = self.rel(Fn(cur.base, self._live(cur), ("entity", cur.base.entity), cur.type)).df
         has = self._filter_relation(node[1], cur.type).df
         yes, no = R.compose(R.semijoin(every, has), self.rel(a).df), R.compose(R.antijoin(every, has), self.rel(b).df)
-        return Rel(R.union(yes, no), cur.type, self.join_types(a.right, b.right))
+        return Rel(R.union(yes, no), cur.type, t)
 
 
 def literal_of(v) -> Column:

@@ -21,8 +21,19 @@ entity Visit { user: Int, kind: Text, value: Money, day: Date }
 """
 
 
+#: What names a stored column end in that is kept beside the field made of it, so that filters reach the scan.
+STORED = "__stored"
+
+
 def _cents(c: str) -> Column:
-    return F.round(F.col(c) * 100).cast("long")
+    return F.round(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) * 100).cast("long")
+
+
+#: Stored columns by entity and field.
+_STORED = {
+    "Customer": {"acctbal": "c_acctbal"}, "Supplier": {"acctbal": "s_acctbal"}, "Part": {"price": "p_retailprice"}, "Order": {"total": "o_totalprice", "placed": "o_orderdate"},
+    "Line": {"price": "l_extendedprice", "discount": "l_discount", "shipped": "l_shipdate"}, "Visit": {"value": "value", "day": "ts"},
+}
 
 
 def _columns() -> dict[str, tuple[str, dict[str, Column]]]:
@@ -40,7 +51,7 @@ def _columns() -> dict[str, tuple[str, dict[str, Column]]]:
 
 
 def loaders(spark: SparkSession, folder: str) -> dict[str, Callable[[], DataFrame]]:
-    def load(table: str, columns: dict[str, Column]) -> Callable[[], DataFrame]:
-        return lambda: spark.read.parquet(f"{folder}/{table}.parquet").select(*[v.alias(k) for k, v in columns.items()])
+    def load(table: str, columns: dict[str, Column], stored: dict[str, str]) -> Callable[[], DataFrame]:
+        return lambda: spark.read.parquet(f"{folder}/{table}.parquet").select(*[v.alias(k) for k, v in columns.items()], *[F.col(c).alias(f"{k}{STORED}") for k, c in stored.items()])
 
-    return {e: load(t, c) for e, (t, c) in _columns().items()}
+    return {e: load(t, c, _STORED.get(e, {})) for e, (t, c) in _columns().items()}

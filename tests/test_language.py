@@ -183,3 +183,36 @@ def test_a_stream_is_followed_on_after_a_restart(spark, tmp_path):
     got = sorted((r["batch"], r["r"], r["w"]) for r in spark.read.parquet(f"{out}/total").collect())
     assert got == [(0, 0, -1), (0, 7, 1), (1, 4, 1), (1, 7, -1)]
     assert App.restore(spark, STOCK, f"{out}/_state").applied == {"Good": 1}
+
+
+TREE = """
+entity Node { name: Text, parent: Node, size: Int, cost: Money }
+let a = new Node { name: "a", size: 3, cost: 0.03 }
+let b = new Node { name: "b", parent: a, size: 3, cost: 3.00 }
+let c = new Node { name: "c", parent: a, size: 5 }
+let d = new Node { name: "d", parent: b, cost: 9 }
+let kids : Node -> Node = ~(Node . parent)
+"""
+
+
+@pytest.mark.parametrize(
+    ("body", "wanted"),
+    [
+        ("let v = Node.parent . (kids | kids)", [(1, 1, 2), (1, 2, 2), (2, 1, 2), (2, 2, 2), (3, 3, 2)]),
+        ("let v = Node.parent . (distinct kids)", [(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 1), (3, 3, 1)]),
+        ("let v = Node.parent . kids", [(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 1), (3, 3, 1)]),
+        ("let v = Node.parent . ~(Node . parent)", [(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 1), (3, 3, 1)]),
+        ("let v = a . ~(Node . parent)", [(0, 1, 1), (0, 2, 1)]),
+        ("let v = a . kids", [(0, 1, 1), (0, 2, 1)]),
+        ("let v = Node.parent.parent", [(3, 0, 1)]),
+        ("let v = Node.parent . (count(kids))", [(1, 2, 1), (2, 2, 1), (3, 1, 1)]),
+        ("let v = Node.parent . (kids . name)", [(1, "b", 1), (1, "c", 1), (2, "b", 1), (2, "c", 1), (3, "d", 1)]),
+        # 3 and 3.00 are one amount, 3 and 0.03 are not.
+        ("let v = Node.size | Node.cost", [(0, 3, 1), (0, 300, 1), (1, 300, 2), (2, 500, 1), (3, 900, 1)]),
+        ("let v = Node.size & Node.cost", [(1, 300, 1)]),
+        ("let v : Node -> Money = if .size = 3 then .size else .cost", [(0, 300, 1), (1, 300, 1), (3, 900, 1)]),
+        ('let v : Node -> Money = match .name { "a" => .size, _ => .cost }', [(0, 300, 1), (1, 300, 1), (3, 900, 1)]),
+    ],
+)
+def test_relations_at_a_path_and_amounts(spark, body, wanted):
+    assert sorted(tuple(r) for r in Program(spark, TREE + body).view("v").collect()) == sorted(wanted)

@@ -19,3 +19,20 @@ def test_same_as_sql(spark, name):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert sorted(map(str, got[cols].values.tolist())) == sorted(map(str, want[cols].values.tolist()))
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no tables")
+@pytest.mark.parametrize(
+    ("name", "pushed"),
+    [
+        ("p1_prefix_filter", ["GreaterThanOrEqual(c_acctbal"]),
+        ("s13_predicate", ["LessThan(p_size,10)"]),
+        ("f8_dates", ["GreaterThanOrEqual(o_orderdate", "LessThan(o_orderdate"]),
+        ("j3_semijoin", ["GreaterThanOrEqual(c_acctbal"]),
+    ],
+)
+def test_filters_reach_the_scan(spark, name, pushed):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().explainString(mode)
+    filters = " ".join(x for x in plan.split("\n") if x.startswith("PushedFilters"))
+    assert all(p in filters for p in pushed), filters
