@@ -496,3 +496,34 @@ def test_languages_of_long_or_copied_texts_are_learned(spark):
     assert sum(trees.at[1][b"a"].values()) <= 30 and 4000 < sum(trees.at[0][b""].values()) <= 5010
     coder = langid.Coder(trees)
     assert coder("die katze und").argmin() == 0 and coder("the cat and").argmin() == 1
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Lines that share a passage, in pairs that differ by a letter in most other words; those that go by a comparison of every two that share a key."""
+    rng = random.Random(11)
+    passage, rows = [f"shared{i}" for i in range(14)], []
+    made = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    for i in range(120):
+        a = [made() for _ in range(10)] + passage + [made() for _ in range(10)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(w if w in passage or rng.random() < 0.1 else f"{w[:-1]}z" for w in a))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    w = F.split("text", " ")
+    keyed = lines.with_simhash(lines._lines(d, "doc_id", "text")).select(F.col("at.doc_id").alias("doc_id"), "sim", lines.band_keys().alias("keys"))
+    each = keyed.join(d, "doc_id").withColumn("p", F.array_distinct(F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))))
+    x, y = each.toDF(*[f"x_{c}" for c in each.columns]), each.toDF(*[f"y_{c}" for c in each.columns])
+    most = F.floor(F.greatest(F.length("x_text"), F.length("y_text")) * 0.2)
+    links = x.join(y, (F.col("x_doc_id") < F.col("y_doc_id")) & F.arrays_overlap("x_keys", "y_keys")).where(F.bit_count(F.col("x_sim").bitwiseXOR(F.col("y_sim"))) <= lines.DISTANCE)
+    links = links.where((F.size(F.array_intersect("x_p", "y_p")) * 100 >= lines.ALIKE[0] * F.greatest(F.size("x_p"), F.size("y_p"))) & (F.levenshtein("x_text", "y_text") <= most))
+    first = {}
+    root = lambda i: i if first.get(i, i) == i else root(first[i])
+    for r in links.select("x_doc_id", "y_doc_id").collect():
+        a, b = sorted((root(r[0]), root(r[1])))
+        first[b] = a
+    return d, {i for i, _ in rows if root(i) != i}
+
+
+def test_line_dedup_loses_no_pair_of_a_long_list(crowded):
+    d, want = crowded
+    got = {r["i"] for r in lines.dedup_lines(d).where("size(removed) > 0").select(F.col("doc.doc_id").alias("i")).collect()}
+    assert got == want and len(want) > 20
