@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomset.llm import cotraining, idfiles, jaccard, langid, lattice, lines, mixing, neighbours, packing, rules
+import corpus_pipeline
+from loomset.llm import common, cotraining, idfiles, jaccard, langid, lattice, lines, mixing, neighbours, packing, rules
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+").findall
 BASE = " ".join(f"alpha{i} beta{i} gamma" for i in range(30))
@@ -527,3 +529,9 @@ def test_line_dedup_loses_no_pair_of_a_long_list(crowded):
     d, want = crowded
     got = {r["i"] for r in lines.dedup_lines(d).where("size(removed) > 0").select(F.col("doc.doc_id").alias("i")).collect()}
     assert got == want and len(want) > 20
+
+
+def test_pipeline_line_dedup_loses_no_pair_of_a_long_list(spark, crowded):
+    d, want = crowded
+    left = corpus_pipeline.line_dedup(spark, d, "").select("doc_id", "text").collect()
+    assert {r["doc_id"] for r in left if r["text"] == ""} == want
