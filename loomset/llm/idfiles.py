@@ -42,22 +42,21 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    block = np.arange(n) // BLOCK
     best = np.full(n, len(SLOTS) - 1, np.int8)
-    at = np.arange(n)
+    room = BLOCK - np.arange(n, dtype=np.int32) % BLOCK
     for s in range(len(SLOTS) - 2, -1, -1):  # fewer and fewer starts fit more ids
         k = SLOTS[s]
-        at = at[(at + k <= n)]
-        at = at[block[at + k - 1] == block[at]]
-        if not len(at):
+        fit = ids < np.uint64(1 << 60 // k)
+        have = 1
+        while have < k:  # from here on so many ids fit
+            more = min(have, k - have)
+            fit[: max(n - more, 0)] &= fit[more:]
+            fit[max(n - more, 0) :] = False
+            have += more
+        fit &= room >= k
+        if not fit.any():
             break
-        if len(at) * k < n:
-            at = at[(ids[at[:, None] + np.arange(k)] >> np.uint64(60 // k) == 0).all(axis=1)]
-        else:
-            wide = np.zeros(n + 1, np.int32)
-            np.cumsum(ids >= np.uint64(1 << 60 // k), out=wide[1:])
-            at = at[wide[at + k] == wide[at]]
-        best[at] = s
+        best[fit] = s
     steps = np.array(SLOTS, np.int64)[best].tolist()
     starts, i = [], 0
     add = starts.append
@@ -72,8 +71,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s, k in enumerate(SLOTS):
         mine = np.flatnonzero((sel == s) & ~escaped)
         if len(mine):
-            rows = ids[starts[mine][:, None] + np.arange(k)] << (np.arange(k, dtype=np.uint64) * np.uint64(60 // k))
-            words[place[mine]] = np.bitwise_or.reduce(rows, axis=1) | np.uint64(s << 60)
+            first, word = starts[mine], np.full(len(mine), s << 60, np.uint64)
+            for i in range(k):
+                word |= ids[first + i] << np.uint64(i * (60 // k))
+            words[place[mine]] = word
     words[place[escaped]] = np.uint64(ESCAPE << 60)
     words[place[escaped] + 1] = ids[starts[escaped]]
     first = np.searchsorted(starts, np.arange(0, n, BLOCK))

@@ -535,3 +535,14 @@ def test_pipeline_line_dedup_loses_no_pair_of_a_long_list(spark, crowded):
     d, want = crowded
     left = corpus_pipeline.line_dedup(spark, d, "").select("doc_id", "text").collect()
     assert {r["doc_id"] for r in left if r["text"] == ""} == want
+
+
+def test_stretches_that_differ_by_case_are_merged_once():
+    from loomset.llm.tokens import Ids
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, tok, made = Ids(path, False), Tokenizer.from_file(path), []
+    ids.of_piece.make = lambda p, make=ids.of_piece.make: made.append(p) or make(p)
+    texts = ["Word WORD word, wörd WÖRD's don't", "a\tB\x0bc\x0cA1b2 12,345", "é" * 1500 + " " + "Ab1" * 900, "word’s Word"]
+    assert all(ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids for t in texts)
+    assert made.count("word") == 1 and len([s for s in (*ids.of_lowered, *ids.of_stretch) if s.lower() == "word"]) == 2  # one of a text that isn't plain
