@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cut, bound_arrow, cut, documents, settle
+from .common import Cut, Scratch, bound_arrow, cut, documents, settle
 
 BUCKETS, CHUNKS, SALTS, REMEMBERED = 1 << 18, 256, 64, 400_000
 #: Ids of documents that a broadcast may hold; more are met by a shuffle.
@@ -320,12 +320,13 @@ def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: st
 
     The row that stays is the first by doc_id (null first), then by a hash of its text, then by a hash of all its columns.
     """
-    every, of_class = _classes(docs, size, percent, id_col, text_col)
-    rows = cut(every.where("k is not null").join(of_class, F.col("k") == F.col("ck")).groupBy("node", "doc_id", "h").agg(F.count("*").alias("c")), "groups")
-    firsts = rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("m"), F.sum("c").alias("c")).where("c > 1").select(F.col("node").alias("fn"), "m")
-    gone = rows.join(firsts, F.col("node") == F.col("fn"))
-    first = F.col("m.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("m.h") == F.col("h"))
-    gone = cut(gone.select(F.col("doc_id").alias("gd"), F.col("h").alias("gh"), first.alias("first"), "c").where("not first or c > 1"), "gone")
+    with Scratch() as made:
+        every, of_class = _classes(docs, size, percent, id_col, text_col)
+        rows = cut(every.where("k is not null").join(of_class, F.col("k") == F.col("ck")).groupBy("node", "doc_id", "h").agg(F.count("*").alias("c")), "groups")
+        firsts = rows.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("m"), F.sum("c").alias("c")).where("c > 1").select(F.col("node").alias("fn"), "m")
+        gone = rows.join(firsts, F.col("node") == F.col("fn"))
+        first = F.col("m.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("m.h") == F.col("h"))
+        gone = made.keep(gone.select(F.col("doc_id").alias("gd"), F.col("h").alias("gh"), first.alias("first"), "c").where("not first or c > 1"), "gone")
     own = [F.col(id_col).cast("long").alias("gd"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("gh")]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *own)
     on = lambda g: F.col("keyed.gd").eqNullSafe(F.col(f"{g}.gd")) & (F.col("keyed.gh") == F.col(f"{g}.gh"))

@@ -537,6 +537,24 @@ def test_pipeline_line_dedup_loses_no_pair_of_a_long_list(spark, crowded):
     assert {r["doc_id"] for r in left if r["text"] == ""} == want
 
 
+@pytest.mark.parametrize("stage,tag", [(corpus_pipeline.line_dedup, "line-removed"), (corpus_pipeline.near_duplicates, "gone")])
+def test_pipeline_stages_leave_little_on_disk(spark, docs, stage, tag):
+    before = len(common._written)
+    out = stage(spark, docs, "")
+    left = [path for _, path in common._written[before:] if Path(path.removeprefix("file://")).exists()]
+    assert [Path(p).name.rsplit("-", 1)[0] for p in left] == [tag] and out.count() > 0
+
+
+def test_scratch_folders_go_with_their_scope(spark):
+    exists = lambda d: Path(d.inputFiles()[0].removeprefix("file://")).exists()
+    with common.Scratch():
+        with common.Scratch() as inner:
+            kept = inner.keep(common.cut(spark.range(3), "one"), "two")
+        assert kept.count() == 3 and exists(kept)
+        path = common._written[-1][1]
+    assert [Path(p.removeprefix("file://")).exists() for _, p in common._written[-2:]] == [False, False] and path.rsplit("/", 1)[1].startswith("two")
+
+
 def test_stretches_that_differ_by_case_are_merged_once():
     from loomset.llm.tokens import Ids
 
