@@ -564,3 +564,15 @@ def test_stretches_that_differ_by_case_are_merged_once():
     texts = ["Word WORD word, wörd WÖRD's don't", "a\tB\x0bc\x0cA1b2 12,345", "é" * 1500 + " " + "Ab1" * 900, "word’s Word"]
     assert all(ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids for t in texts)
     assert made.count("word") == 1 and len([s for s in (*ids.of_lowered, *ids.of_stretch) if s.lower() == "word"]) == 2  # one of a text that isn't plain
+
+
+def test_line_dedup_makes_each_pair_of_open_lists_once(spark):
+    texts = [f"one two three four five six seven eight nine w{i} x{i} y{i}" for i in range(90)]
+    d = spark.createDataFrame([(i, x.split(" ")) for i, x in enumerate(texts)], "k long, w array<string>")
+    # Lists of all 90 and of the first 40, in which no two lines are of one component.
+    listed = d.select("k", F.explode(F.when(F.col("k") < 40, F.expr("array(7L, 5L)")).otherwise(F.expr("array(7L)"))).alias("t"))
+    members = listed.select("t", "k", F.when(F.col("t") == 7, 90).otherwise(40).alias("c"), F.length(F.lit(texts[0])).cast("long").alias("n"), F.lit(0).cast("long").alias("sim"), F.col("k").alias("component"), (F.col("k") > 0).alias("far"))
+    members = members.join(lines._signatures(d).join(listed.groupBy("k").agg(F.collect_set("t").alias("ts")), "k"), "k")
+    out = lines._across(members, lambda x, y: F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= lines.DISTANCE, 80)
+    assert sorted((r["b"], r["a"]) for r in out.collect()) == list(itertools.combinations(range(90), 2))
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # nothing has to put repeated pairs together
