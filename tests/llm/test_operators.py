@@ -576,3 +576,20 @@ def test_line_dedup_makes_each_pair_of_open_lists_once(spark):
     out = lines._across(members, lambda x, y: F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= lines.DISTANCE, 80)
     assert sorted((r["b"], r["a"]) for r in out.collect()) == list(itertools.combinations(range(90), 2))
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # nothing has to put repeated pairs together
+
+
+def test_edit_similarity_of_long_lines_is_that_of_brute_force(spark):
+    rng, rows = random.Random(5), []
+    made = lambda n: ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(n)]
+    for i in range(240):
+        passage, a = made(rng.randint(0, 25)), made(40)
+        at = rng.randint(0, 40)
+        a = a[:at] + passage + a[at:]
+        share = rng.choice([0.05, 0.25, 0.3, 0.35, 0.4, 0.9])
+        b = [x if x in passage or rng.random() > share else made(1)[0] for x in a]
+        cut = rng.randint(0, 8)
+        rows.append((i, a, b[cut:] if i % 3 else b[: len(b) - cut]))
+    d = spark.createDataFrame(rows, "i int, wa array<string>, wb array<string>")
+    xa, xb = F.array_join("wa", " "), F.array_join("wb", " ")
+    want = {r["i"] for r in d.where(F.levenshtein(xa, xb) <= F.floor(F.greatest(F.length(xa), F.length(xb)) * 20 / 100)).collect()}
+    assert {r["i"] for r in lines.similar_words(d, 80).collect()} == want and 40 < len(want) < 200
