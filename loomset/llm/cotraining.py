@@ -217,7 +217,7 @@ def _numbered(lists: pa.ChunkedArray, number: dict) -> pa.ListArray:
     """Lists of words as lists of their numbers, without those that have none."""
     whole = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
     coded = whole.flatten().dictionary_encode()
-    of = np.array([number.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+    of = np.fromiter((number.get(w.as_py(), -1) for w in coded.dictionary), np.int64, len(coded.dictionary))
     col = of[coded.indices.to_numpy()] if len(of) else np.zeros(0, np.int64)
     at = np.repeat(np.arange(len(whole)), whole.value_lengths().to_numpy(zero_copy_only=False))[col >= 0]
     ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(whole)))])
@@ -225,8 +225,10 @@ def _numbered(lists: pa.ChunkedArray, number: dict) -> pa.ListArray:
 
 
 def _frequent(lists: pa.ChunkedArray) -> list:
-    counted = [] if not len(lists) else pa.compute.value_counts(pa.compute.list_flatten(lists)).to_pylist()
-    return [c["values"] for c in counted if c["counts"] >= MIN_DOCS]
+    if not len(lists):
+        return []
+    counted = pa.compute.value_counts(pa.compute.list_flatten(lists))
+    return counted.field("values").filter(pa.compute.greater_equal(counted.field("counts"), MIN_DOCS)).to_pylist()  # rare ones, which are most, are no objects
 
 
 def features(docs: DataFrame, views: Views) -> DataFrame:
@@ -300,6 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     shapes = np.array(got["shape"].to_pylist(), float).reshape(len(got), views.n_shape)
     x = views.rows(_numbered(got["words"], views.words), shapes, _numbered(got["values"], views.values))
     given = [got["quality"].to_numpy(), got["toxic"].to_numpy()]
+    del got, shapes  # the driver holds the sample's words no longer than until they are numbered
+    pa.default_memory_pool().release_unused()
     targets = [CoTrained(y) for y in given]
     for target, y in zip(targets, given):
         target.train(x, y)

@@ -593,3 +593,18 @@ def test_edit_similarity_of_long_lines_is_that_of_brute_force(spark):
     xa, xb = F.array_join("wa", " "), F.array_join("wb", " ")
     want = {r["i"] for r in d.where(F.levenshtein(xa, xb) <= F.floor(F.greatest(F.length(xa), F.length(xb)) * 20 / 100)).collect()}
     assert {r["i"] for r in lines.similar_words(d, 80).collect()} == want and 40 < len(want) < 200
+
+
+def test_classifier_makes_no_objects_of_rare_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rows = pa.chunked_array([pa.array([[f"w{i}_{j}".encode() for j in range(100)] + [b"often"] * (i % 2) for i in range(1000)], pa.list_(pa.binary()))] * 2)
+    rare = pa.chunked_array([rows.chunk(0)])
+    tracemalloc.start()
+    got = cotraining._frequent(rare)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [b"often"] and peak < 1 << 20
+    assert cotraining._frequent(rows.slice(0, 0)) == [] and cotraining._numbered(rare, {b"often": 4}).to_pylist()[:3] == [[], [4], []]
