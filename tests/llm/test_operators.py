@@ -608,3 +608,17 @@ def test_classifier_makes_no_objects_of_rare_words():
     tracemalloc.stop()
     assert got == [b"often"] and peak < 1 << 20
     assert cotraining._frequent(rows.slice(0, 0)) == [] and cotraining._numbered(rare, {b"often": 4}).to_pylist()[:3] == [[], [4], []]
+
+
+def test_line_dedup_needs_few_pairs_of_copies_that_a_central_line_keeps_apart(spark, monkeypatch):
+    """Two groups of copies in the same lists: the central line is of one group, so that no line of the other links with it."""
+    of = lambda name, i: " ".join(f"{name}{j}" if j != i % 20 else f"new{i}" for j in range(20))
+    texts = [of("left", i) for i in range(20)] + [of("rite", i) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, t string")
+    n = F.length("t").cast("long").alias("n")
+    classes = docs.select(F.col("row").alias("k"), F.col("row").alias("k2"), F.struct(F.col("row").alias("doc_id"), "row", F.lit(0).alias("line")).alias("at"), n, F.lit(0).cast("long").alias("sim"), *[F.lit(7).cast("long").alias(p) for p in lines._PACKED])
+    pairs, links = [], lines._links
+    monkeypatch.setattr(lines, "_links", lambda found, new, percent: pairs.append(new.count()) or links(found, new, percent))
+    got = lines._settled(docs, classes, 80).select("node", "component").collect()
+    assert {r["node"]: r["component"] for r in got} == {i: 0 if i < 20 else 20 for i in range(80)}
+    assert sum(pairs) < 10 * len(texts)
