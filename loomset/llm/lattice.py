@@ -6,7 +6,9 @@ own scores, frozen, weigh the pieces (they are ranks, so piece r has a share in
 1 / (r + 50)). A text's probability is the product over its words and its end, whose share is that of
 ends among the training tokens. If asked for, `passes` of expectation maximisation over all distinct
 training words bring the scores to the corpus, and `whole_words` adds an arc over the whole word that
-has the word's own training count.
+has the word's own training count; pieces then spell the words that weren't met before, and each distinct
+training word counts once in a pass. The query asks for both, with one pass, in which the vocabulary's
+scores weigh all segmentations of the training words.
 
 Distinct words are counted with partial sums, scored once, and brought back to the documents: words
 that make up at least one part in HOT of all tokens (so at most HOT words) by broadcast, all others by
@@ -189,8 +191,8 @@ def word_counts(docs: DataFrame, learns: Column) -> DataFrame:
     return rows.mapInArrow(count, "word binary, n_train long, n_all long").groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
 
-def expected(counts: DataFrame, pieces: Pieces) -> np.ndarray:
-    """Expected piece counts over all training words; one vector a task, added up by position."""
+def expected(counts: DataFrame, pieces: Pieces, once: bool = False) -> np.ndarray:
+    """Expected piece counts over all training words (once: distinct ones); one vector a task, added up by position."""
     shared = counts.sparkSession.sparkContext.broadcast(pieces)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +203,8 @@ def expected(counts: DataFrame, pieces: Pieces) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-    got = counts.where("n_train > 0").select("word", "n_train").mapInArrow(add, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # at most a row a piece
+    times = F.lit(1).cast("long").alias("n_train") if once else F.col("n_train")
+    got = counts.where("n_train > 0").select("word", times).mapInArrow(add, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # at most a row a piece
     out = np.zeros(len(pieces.texts))
     for r in got:
         out[r["piece"]] = r["n"]
@@ -220,7 +223,7 @@ def lattice_score(docs: DataFrame, learns: Column, vocabulary_path: str, *, pass
     pieces = vocabulary(vocabulary_path)
     prior = np.exp(pieces.logp)
     for _ in range(passes):
-        e = expected(counts, pieces)
+        e = expected(counts, pieces, whole_words)
         pieces.logp = np.log((e + PRIOR * prior) / (e.sum() + PRIOR))
     shared = spark.sparkContext.broadcast(pieces)
     known = n / (n + v) if n and whole_words else 0.0  # Witten-Bell: the share of words that were met before
@@ -290,5 +293,5 @@ def op7_lattice_scores(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    got = lattice_score(documents(spark, sf_dir), ~held, public_tokenizers.path("piece_bpe_32k.model"))
+    got = lattice_score(documents(spark, sf_dir), ~held, public_tokenizers.path("piece_bpe_32k.model"), passes=1, whole_words=True)
     return got.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -489,6 +489,18 @@ def test_lattice_score_is_the_product_of_its_words(spark):
     assert {r["doc_id"]: r["score"] > got[r["doc_id"]]["score"] for r in adapted}[3]
 
 
+def test_lattice_query_learns_the_words_of_held_out_rows(spark, tmp_path):
+    rng = random.Random(5)
+    spelled = ["".join(rng.choice(("ka", "qu", "zo", "xi", "vel", "thr")) for _ in range(4)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(spelled, k=60)) + f" new{i}" if i else None) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lattice.op7_lattice_scores(spark, str(tmp_path)).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == 200 and held and all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got)
+    # Words met in training cost what they cost the base; the one new word of a row is spelled.
+    assert all(r["score"] > 1.15 * r["base_score"] for r in held)
+
+
 def test_languages_of_long_or_copied_texts_are_learned(spark):
     en, de = "the cat and the dog sat on the mat ", "der hund und die katze auf der matte "
     rows = [(i, en * 3, "en") for i in range(300)] + [(300, en * 2 + "more", "en"), (301, de * 2000, "de"), (302, None, "fr"), (303, "x", None)]
