@@ -466,14 +466,15 @@ class Program:
         a = self.compile(node[1], cur)
         step = ("path", node[2][1]) if node[2][0] == "hop" else node[2]
         if isinstance(a, Fn):
-            at = Cursor(a.base, a.col, a.right)
+            # Rows that a filter drops keep their keys while they are joined: null keys would all go to one task.
+            at = Cursor(a.base, a.open(), a.right)
             if node[2][0] == "hop":
                 b = self._path(step, at)
             else:
                 own = self.domain(step)
                 b = self.compile(step, at if own is None or own == a.right else None)
             if isinstance(b, Fn) and b.base is a.base:
-                return b
+                return gated(a.base, (*a.only, *b.only), b.open(), a.left, b.right) if a.only else b
             # No column at the path: the relation itself, from its own keys, composed once.
             if node[2][0] == "hop":
                 return self._composed(a, self._name(("name", step[1]), None))
@@ -582,7 +583,7 @@ class Program:
         a = self.compile(node[1], cur)
         if isinstance(a, Fn):
             try:
-                return Fn(a.base, F.when(~self.truth(node[2], Cursor(a.base, a.col, a.right), False), a.col), a.left, a.right)
+                return gated(a.base, (*a.only, a.open().isNotNull(), ~self.truth(node[2], Cursor(a.base, a.open(), a.right), False)), a.open(), a.left, a.right)
             except NotFused:
                 pass
         a, b = self.rel(a), self._filter_relation(node[2], a.right)
@@ -626,7 +627,7 @@ class Program:
             return Rel(a.df.where(keep(F.col("r"))), a.left, a.right, a.functional)
         if isinstance(a, Fn):
             try:
-                return gated(a.base, (*a.only, self.truth(p, Cursor(a.base, a.col, a.right))), a.open(), a.left, a.right)
+                return gated(a.base, (*a.only, self.truth(p, Cursor(a.base, a.open(), a.right))), a.open(), a.left, a.right)
             except NotFused:
                 pass
         a = self.rel(a)
