@@ -537,6 +537,18 @@ def crowded(spark):
     return d, {i for i, _ in rows if root(i) != i}
 
 
+def test_only_lists_of_several_lines_are_joined(crowded, monkeypatch):
+    least, made = [], lines.listed_members
+
+    def watched(rows, info):
+        least.append(rows.groupBy("t").count().agg(F.min("count")).first()[0])
+        return made(rows, info)
+
+    monkeypatch.setattr(lines, "listed_members", watched)
+    lines.removed_lines(crowded[0])
+    assert len(least) == 2 and all(n is None or n > 1 for n in least)
+
+
 def test_line_dedup_loses_no_pair_of_a_long_list(crowded):
     d, want = crowded
     got = {r["i"] for r in lines.dedup_lines(d).where("size(removed) > 0").select(F.col("doc.doc_id").alias("i")).collect()}
